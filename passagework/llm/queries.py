@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import density_clusters, format_duplicates, prefix_forest, sparse_product, text_pieces
+from passagework.llm import abuse_scores, density_clusters, format_duplicates, genetic_packing, prefix_forest, soft_mixing, sparse_product, text_pieces
+from passagework.runtime import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,40 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_pieces.text_pieces(_table(spark, sf_dir, "passages"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and position of every document, or its pieces, for each capacity."""
+    return genetic_packing.pack(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for each mix, with their number of uses."""
+    return soft_mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source of each mix."""
+    targets = _table(spark, sf_dir, "mix_targets")
+    drawn = materialize(soft_mixing.mix(_table(spark, sf_dir, "documents"), targets), "drawn")
+    return soft_mixing.shares(_table(spark, sf_dir, "documents"), targets, drawn)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    scores = abuse_scores.abuse_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "abuse_labels"))
+    return scores.where(F.col("score") >= abuse_scores.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score."""
+    scores = abuse_scores.abuse_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "abuse_labels"))
+    return scores.select("doc_id", F.round("score", 4).alias("score"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive documents of every source."""
+    return abuse_scores.abuse_rates(abuse_scores.abuse_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "abuse_labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
     return {
@@ -76,6 +111,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p7_packed": p7_packed,
+        "p8_drawn": p8_drawn,
+        "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_scores": p9_scores,
+        "p9_rates": p9_rates,
     }
 
 
