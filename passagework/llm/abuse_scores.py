@@ -226,6 +226,22 @@ def learn(rows: list[tuple[int, bool, np.ndarray]], rate: float, rounds: int = 3
     return full, bias
 
 
+def _scores(w: np.ndarray, bias: float):
+    weights = w.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                worst = -30.0
+                for words in segments(text or ""):
+                    worst = max(worst, float(weights[hashed(words)].sum()) + bias)
+                out.append(float(1 / (1 + np.exp(-np.clip(worst, -30, 30)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64())], ["doc_id", "source", "score"])
+
+    return run
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, node: str = "doc_id", text: str = "text") -> tuple[list[tuple[int, bool, np.ndarray]], float]:
     """(segments, share of documents rated abusive) from a bounded sample: about ``RATED`` documents rated abusive and about ``OTHERS`` of all others."""
     ship(documents.sparkSession)
