@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import abuse_scores, density_clusters, format_duplicates, genetic_packing, prefix_forest, soft_mixing, sparse_product, text_pieces
+from passagework.llm import abuse_scores, density_clusters, encoding_repair, format_duplicates, genetic_packing, prefix_forest, soft_mixing, sparse_product, text_pieces
 from passagework.runtime import materialize
 
 
@@ -49,6 +49,21 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("a").alias("vec_id"), "place", F.col("b").alias("near_vec_id"), "cosine")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [_table(spark, sf_dir, t).select(F.lit(t).alias("origin"), "id", "text") for t in ("passages", "queries")]
+    return both[0].union(both[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of passages and queries that were decoded with the wrong encoding."""
+    return encoding_repair.garbled(_texts(spark, sf_dir)).select("origin", "id")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the original text, null where it can't be told."""
+    return encoding_repair.garbled(_texts(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages in a group of near-duplicates with the lowest ordinal of their group."""
     groups = sparse_product.near_duplicates(_table(spark, sf_dir, "passages"), n=3, t=0.5)
@@ -108,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_clusters": p2_clusters,
         "p3_found": p3_found,
         "p3_neighbours": p3_neighbours,
+        "p4_found": p4_found,
+        "p4_restored": p4_restored,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
