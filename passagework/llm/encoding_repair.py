@@ -105,6 +105,17 @@ def sequences(encoding: str, lower: bool = False) -> re.Pattern:
     return re.compile(f"(?:{group(0xF0, 0xF4)}{tail}{{3}}|{group(0xE0, 0xEF)}{tail}{{2}}|{group(0xC2, 0xDF)}{tail})+")
 
 
+@lru_cache(maxsize=64)
+def parts(encoding: str, lower: bool) -> tuple[frozenset, frozenset]:
+    """Characters that can begin, and that can go on, a UTF-8 sequence read in ``encoding``."""
+    table = char_bytes(encoding)
+    lead = {c for c, b in table.items() if b >= 0xC2}
+    tail = {c for c, b in table.items() if 0x80 <= b < 0xC0}
+    if lower:
+        lead, tail = lead | {c.lower() for c in lead}, tail | {c.lower() for c in tail}
+    return frozenset(lead), frozenset(tail)
+
+
 def utf8_step(s: str, encoding: str) -> str | None:
     raw = encode(s, encoding)
     if raw is None:
@@ -170,7 +181,7 @@ class Dictionaries:
         return n
 
     def knows(self, s: str) -> bool:
-        return any(w.lower() in self.words for w in WORD.findall(s)) or any(w in self.words for run in JAPANESE.findall(s) for w in PARTICLE.split(run))
+        return any(len(w) > 2 and w.lower() in self.words for w in WORD.findall(s)) or any(w in self.words for run in JAPANESE.findall(s) for w in PARTICLE.split(run))
 
 
 def _around(text: str, start: int, end: int) -> tuple[int, int]:
@@ -185,8 +196,12 @@ def _around(text: str, start: int, end: int) -> tuple[int, int]:
 def _utf8_pass(text: str, d: Dictionaries) -> tuple[str, int]:
     """One step back for every stretch that is UTF-8 read as something else, if that shortens it."""
     best, gain = text, 0
+    beyond = set(NON_ASCII.findall(text))
     for encoding in READ_AS:
         for lower in (False, True):
+            lead, tail = parts(encoding, lower)
+            if not (beyond & lead and beyond & tail):
+                continue
             out, at, won = [], 0, 0
             for m in sequences(encoding, lower).finditer(text):
                 new = utf8_step(m.group(0), encoding)
