@@ -24,8 +24,8 @@ from passagework.llm.soft_mixing import canonical
 from passagework.runtime import ship
 
 #: Rows that the classifier is fitted on: at most about so many documents rated abusive and so many others.
-RATED = 6_000
-OTHERS = 20_000
+RATED = 4_000
+OTHERS = 10_000
 BITS = 18
 SURE = 6.5
 MET = 2
@@ -119,8 +119,8 @@ class Segments:
 
     def __init__(self, lists: list[np.ndarray], learnt: np.ndarray):
         self.n = len(lists)
-        row = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        col = learnt[np.concatenate(lists)] if lists else np.array([], np.int64)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in lists])
+        col = learnt[np.concatenate(lists)] if lists else np.array([], np.int32)
         self.row, self.col, self.width = row[col >= 0], col[col >= 0], int(learnt.max(initial=-1)) + 1
 
     def dot(self, w: np.ndarray, bias: float) -> np.ndarray:
@@ -130,10 +130,11 @@ class Segments:
         return np.bincount(self.col, weights=g[self.row], minlength=self.width)
 
 
-def fit_nnpu(positive: Segments, unlabelled: Segments, prior: float, steps: int = 80, rate: float = 0.15, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Segments, unlabelled: Segments, prior: float, harmless: np.ndarray, steps: int = 80, rate: float = 0.15, decay: float = 5e-4) -> tuple[np.ndarray, float]:
     """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss, by Adam.
 
     Where the second part falls below zero its gradient is turned round, as the estimator asks.
+    Weights of ``harmless`` features can only speak against abuse.
     """
     width = positive.width
     w, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
@@ -150,6 +151,7 @@ def fit_nnpu(positive: Segments, unlabelled: Segments, prior: float, steps: int
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
+        w[harmless] = np.minimum(w[harmless], 0)
     return w, bias
 
 
@@ -164,13 +166,22 @@ def choose(doc: np.ndarray, score: np.ndarray, above: float) -> np.ndarray:
 
 def _documents_with(doc: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     """In how many documents each feature is met."""
-    pairs = np.unique(np.repeat(doc, [len(x) for x in lists]).astype(np.int64) << BITS | np.concatenate(lists))
-    return np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    out = np.zeros(1 << BITS, np.int64)
+    order = np.argsort(doc, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))
+    for part in np.array_split(cuts, max(1, len(cuts) // 500)):
+        lo = part[0]
+        after = cuts[np.searchsorted(cuts, part[-1]) + 1 :]
+        some = order[lo : after[0] if len(after) else len(order)]
+        own = [lists[i] for i in some]
+        pairs = np.unique(np.repeat(doc[some], [len(x) for x in own]).astype(np.int64) << BITS | np.concatenate(own))
+        out += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    return out
 
 
 def _places(keep: np.ndarray) -> np.ndarray:
-    out = np.full(1 << BITS, -1)
-    out[keep] = np.arange(len(keep))
+    out = np.full(1 << BITS, -1, np.int32)
+    out[keep] = np.arange(len(keep), dtype=np.int32)
     return out
 
 
@@ -203,14 +214,14 @@ def learn(rows: list[tuple[int, bool, np.ndarray]], rate: float, rounds: int = 3
     odds = np.clip(np.log((a[keep] + 0.1) / (len(own) + 1)) - np.log((b[keep] + 1.0) / (len(other) + 1)), 0, 4)
     start = inner.dot(odds, 0.0)
     picked = choose(doc[pos], start, np.inf) & (start > 0)
-    w, bias = np.zeros(len(keep)), -30.0
+    w, bias, harmless = np.zeros(len(keep)), -30.0, np.zeros(len(keep), bool)
     for turn in range(rounds):
         if not picked.any():
             break
         positive = Segments([own[i] for i in np.flatnonzero(picked)], learnt)
         # of all segments so many are abusive: the rated share of documents, less wrong ratings, by segments
         prior = float(np.clip(rate * picked.sum() / n_pos * n_other / len(other), 1e-4, 0.5))
-        w, bias = fit_nnpu(positive, unlabelled, prior)
+        w, bias = fit_nnpu(positive, unlabelled, prior, harmless)
         score = inner.dot(w, bias)
         picked = (choose(doc[pos], score, np.inf) & (score > DOUBT)) | (score > 0)
         if turn == 0:
@@ -219,7 +230,9 @@ def learn(rows: list[tuple[int, bool, np.ndarray]], rate: float, rounds: int = 3
             if len(near):
                 around = np.flatnonzero(np.bincount(np.concatenate([other[i] for i in near]), minlength=1 << BITS) >= AROUND)
                 if turn + 1 < rounds:
+                    speaking = keep
                     keep = np.union1d(keep, around)
+                    harmless = ~np.isin(keep, speaking)
                     learnt = _places(keep)
                     unlabelled, inner = Segments(other, learnt), Segments(own, learnt)
     full[keep] = w
