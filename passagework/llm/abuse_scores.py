@@ -68,10 +68,16 @@ def masked(word: str) -> str:
     return f"{word[0]}*{word[-1]}"
 
 
+def _joined(m: re.Match) -> str:
+    """Spaced letters as one word; an article or pronoun before it may be the first letter, so it is read both ways."""
+    word = re.sub(r"[ \-._*·]", "", m.group(0))
+    return f"{word} {word[0]} {word[1:]}" if word[0] in "aAiIyY" and m.group(0)[1] == " " and len(word) > 3 else word
+
+
 def segments(text: str) -> list[list[str]]:
     """Normalised words of the segments of a text."""
     text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).replace("’", "'")
-    text = SPACED.sub(lambda m: re.sub(r"[ \-._*·]", "", m.group(0)), text)
+    text = SPACED.sub(_joined, text)
     out = []
     for part in SPLIT.split(text):
         words: list[str] = []
