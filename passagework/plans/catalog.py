@@ -67,7 +67,7 @@ def sql_clean(x: str) -> str:
     return f"regexp_replace(regexp_replace({sql_stripped(x)}, '{W}+', ' ', 'g'), '{dropped}', '', 'g')"
 
 
-E = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"
+E = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"
 COS = "CASE WHEN {a}.n * {b}.n = 0 THEN 0.0 ELSE list_inner_product({a}.v, {b}.v) / ({a}.n * {b}.n) END"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
 PAIRS = E + f", s AS (SELECT q.vec_id AS query_id, c.vec_id, round({COS.format(a='q', b='c')}, 6) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0)"
@@ -143,6 +143,17 @@ def kernel_max_abs_diff(spark: SparkSession, d: str) -> DataFrame:
     return experiments.max_abs_diff(a, b, ["query_id", "vec_id"], "score").select(F.when(F.col("max_abs_diff") <= 1e-6, 0.0).otherwise(F.col("max_abs_diff")).alias("max_abs_diff"), "n")
 
 
+_USABLE = "len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(PAIRS.replace("vec_id IS NOT NULL AND embedding IS NOT NULL", _USABLE).replace("FROM embeddings", "FROM vectors") + f" SELECT query_id, {RANK} AS rank, vec_id, score FROM s QUALIFY rank <= {K}")
+def vectors_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Exact search over the chunks' embeddings; those of another length or with NaN are left out."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    corpus = search.with_norm(table(spark, d, "vectors").where((F.size("embedding") == 384) & finite))
+    return search.exact_topk(asking(corpus), corpus, K)
+
+
 # clusters
 
 

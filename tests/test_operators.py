@@ -116,3 +116,23 @@ def test_dead_centroid_moves(spark):
     v = vectors(spark, [(i, [1.0, float(i) / 10], None) for i in range(5)])
     fit = kmeans.fit(v, 2, iterations=3, start=np.array([[1.0, 0.1], [-1.0, 0.0]]))
     assert np.isfinite(fit.centroids).all() and (fit.centroids[:, 0] > 0).all()
+
+
+def test_pipeline_from_passages_to_answers(spark, tmp_path):
+    from passagework.plans import pipelines
+
+    p = spark.read.parquet(f"{SF}/passages.parquet")
+    path = str(tmp_path / "kb")
+    stages = {r["stage"]: r["rows"] for r in pipelines.build_knowledge_base(p, path, embed.DeterministicEmbedder(32), clusters=4, iterations=2).collect()}
+    assert stages["chunks"] == stages["vectors"] == stages["ivf"]
+    index = ivf.load(spark, f"{path}/ivf")
+    corpus = search.with_norm(spark.read.parquet(f"{path}/vectors.parquet"))
+    texts = spark.read.parquet(f"{path}/chunks.parquet").select(F.col("ordinal").alias("id"), "text")
+    q = corpus.where("id < 6").join(texts, "id")
+    for c in (pipelines.CONFIGS[1], pipelines.CONFIGS[3]):
+        got = pipelines.answer(q, corpus, index, texts, c).collect()
+        assert len(got) == 6 and all("from 3 contexts" in r["answer"] for r in got)
+    compared = pipelines.compare(q, corpus, index, texts, pipelines.CONFIGS[:2]).collect()
+    assert compared[0]["speedup"] == 1.0 and len(compared) == 2
+    with pytest.raises(ValueError):
+        pipelines.Config("x", index="hnsw")
