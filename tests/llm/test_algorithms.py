@@ -139,9 +139,7 @@ def test_neighbours_against_brute_force(spark, rows, run):
     data = clustered(1)
     truth = brute_neighbours(data)
     got = rows(prefix_forest.neighbours(frame(spark, data + BAD), dim=48, run=run).select("a", "b"))
-    assert len(got & truth) >= (0.9 if run > 16 else 0.5) * len(truth)
-    if run > 16:
-        assert len(got & truth) >= 0.95 * len(got)
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
 
 
 def test_neighbours_of_a_query_set_are_exact(spark, rows):
