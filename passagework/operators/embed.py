@@ -91,3 +91,21 @@ def embed(texts: DataFrame, embedder: Embedder, key: str = "id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "embedding"])
 
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<float>")
+
+
+def embed_cached(texts: DataFrame, embedder: Embedder, path: str, key: str = "id", text: str = "text", batch: int = 256) -> DataFrame:
+    """``key, embedding``; vectors of texts met before are taken from the table at ``path`` by the text's digest.
+
+    Each run adds the new ones to it, so a changed text is embedded anew and a known one never again.
+    """
+    spark = texts.sparkSession
+    rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    try:
+        known = spark.read.parquet(path)
+    except Exception:  # nothing was kept so far
+        known = None
+    new = rows.groupBy("digest").agg(F.min("text").alias("text"))
+    if known is not None:
+        new = new.join(known.select("digest"), "digest", "left_anti")
+    embed(new, embedder, "digest", "text", batch).write.mode("append").parquet(path)
+    return rows.select(key, "digest").join(spark.read.parquet(path).dropDuplicates(["digest"]), "digest").select(key, "embedding")

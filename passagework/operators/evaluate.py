@@ -66,3 +66,16 @@ def source_texts(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     once = chunks.groupBy("id").agg(F.min(F.struct("text", "source_id")).alias("c")).select("id", "c.text", "c.source_id")
     p = passages.select(F.col("id").alias("source_id"), F.col("text").alias("passage_text"))
     return once.join(p, "source_id", "left").select(F.col("id").alias("chunk_id"), F.coalesce("passage_text", "text").alias("text"))
+
+
+def judged_queries(queries: DataFrame, most: int | None = None, order: str = "id") -> DataFrame:
+    """Queries with at least one judgment; with ``most``, the first ones in the given order."""
+    kept = queries.where(F.size("relevant_passages") > 0)
+    return kept if most is None else kept.orderBy(order).limit(most)
+
+
+def improvement(baseline: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, before, after, ratio``: how many times less the other takes; infinite where it takes nothing."""
+    x, y = baseline.select(key, F.col(value).alias("before")), other.select(key, F.col(value).alias("after"))
+    ratio = F.when(F.col("after") > 0, F.col("before") / F.col("after")).otherwise(F.lit(float("inf")))
+    return x.join(y, key).select(key, "before", "after", ratio.alias("ratio"))

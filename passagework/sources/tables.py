@@ -97,3 +97,22 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 SCHEMAS = {"passages": schema.PASSAGE, "queries": schema.QUERY, "chunks": schema.CHUNK, "source_items": schema.SOURCE_ITEM}
+
+#: Sizes of data sets by name, as (passages, queries).
+PRESETS = {"small": (5_000, 100), "medium": (100_000, 500), "large": (500_000, 1_000)}
+
+
+def sizes(preset: str = "medium", passages: int | None = None, queries: int | None = None) -> tuple[int, int]:
+    """Passages and queries of a preset, where they are not given."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset!r}")
+    p, q = PRESETS[preset]
+    return passages or p, queries or q
+
+
+def check_knowledge_base(kb: KnowledgeBase) -> DataFrame:
+    """``what, chunks, vectors, ok``: whether each chunk has a vector and each vector a chunk."""
+    c, v = kb.chunks.select(F.col("id").alias("chunk_id")).distinct(), kb.vectors.select("chunk_id").where("chunk_id is not null").distinct()
+    both = c.withColumn("c", F.lit(1)).join(v.withColumn("v", F.lit(1)), "chunk_id", "full_outer")
+    out = both.agg(F.count("c").alias("chunks"), F.count("v").alias("vectors"), F.coalesce(F.bool_and(F.col("c").isNotNull() & F.col("v").isNotNull()), F.lit(True)).alias("ok"))
+    return out.select(F.lit("a vector for each chunk").alias("what"), "chunks", "vectors", "ok")

@@ -136,3 +136,36 @@ def test_pipeline_from_passages_to_answers(spark, tmp_path):
     assert compared[0]["speedup"] == 1.0 and len(compared) == 2
     with pytest.raises(ValueError):
         pipelines.Config("x", index="hnsw")
+
+
+def test_cached_embeddings_presets_and_judged_queries(spark, tmp_path, rows):
+    from passagework.sources import tables
+
+    path = str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id int, text string")
+    first = {r["id"]: r["embedding"] for r in embed.embed_cached(df, embed.DeterministicEmbedder(8), path).collect()}
+    again = {r["id"]: r["embedding"] for r in embed.embed_cached(df.where("id < 4"), embed.DeterministicEmbedder(8), path).collect()}
+    assert first[1] == first[3] == again[1] and set(first) == {1, 2, 3, 4} and spark.read.parquet(path).count() == 3
+    assert tables.sizes("small", queries=7) == (5_000, 7)
+    with pytest.raises(ValueError):
+        tables.sizes("huge")
+    q = spark.read.parquet(f"{SF}/queries.parquet")
+    assert evaluate.judged_queries(q).where("relevant_passages is null or size(relevant_passages) = 0").count() == 0
+    assert evaluate.judged_queries(q, 3).count() == 3
+    x = spark.createDataFrame([("m", 4.0), ("n", 1.0)], "metric string, value double")
+    y = spark.createDataFrame([("m", 2.0), ("n", 0.0)], "metric string, value double")
+    assert rows(evaluate.improvement(x, y, "metric", "value")) == {("m", 4.0, 2.0, 2.0), ("n", 1.0, 0.0, float("inf"))}
+    kb = tables.load_knowledge_base(spark, SF)
+    assert tables.check_knowledge_base(kb).collect()[0]["chunks"] > 0
+
+
+def test_json_stream(spark, tmp_path):
+    from passagework.schema import PASSAGE
+    from passagework.sources import tables
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text('{"id": "passage_%d", "text": "t"}\n' % i)
+    s = tables.stream_jsonl(spark, str(tmp_path / "in"), PASSAGE).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    s.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
