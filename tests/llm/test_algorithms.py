@@ -142,6 +142,15 @@ def test_neighbours_against_brute_force(spark, rows, run):
     assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
 
 
+def test_more_digits_for_more_vectors(spark, rows, monkeypatch):
+    assert [prefix_forest.base_depth(n, 8192) for n in (0, 2_000_000, 3_000_000, 10**9)] == [1, 1, 2, 3]
+    monkeypatch.setattr(prefix_forest, "base_depth", lambda n, run: 2)
+    data = clustered(1)
+    for run in (16, 8192):
+        got = rows(prefix_forest.neighbours(frame(spark, data), dim=48, run=run).select("a", "b"))
+        assert len(got & brute_neighbours(data)) > 0.5 * len(brute_neighbours(data))
+
+
 def test_neighbours_of_a_query_set_are_exact(spark, rows):
     data = clustered(2)
     near = prefix_forest.neighbours(frame(spark, data), dim=48, queries="node % 5 = 0", exact=True)
