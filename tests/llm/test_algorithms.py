@@ -151,6 +151,17 @@ def test_more_digits_for_more_vectors(spark, rows, monkeypatch):
         assert len(got & brute_neighbours(data)) > 0.5 * len(brute_neighbours(data))
 
 
+@pytest.mark.parametrize("run", [8192, 32])
+def test_recall_at_two_digits(spark, rows, run, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "base_depth", lambda n, run: 2)
+    v = spark.read.parquet("/root/testdata/sf0.01/vectors.parquet")
+    data = [(r["vec_id"], r["embedding"]) for r in v.orderBy("vec_id").collect() if r["embedding"] is not None and len(r["embedding"]) == 384 and np.isfinite(r["embedding"]).all() and any(r["embedding"])]
+    ids = [i for i, _ in data]
+    truth = {(ids[i], ids[j]) for i, j in brute_neighbours(data)}
+    got = rows(prefix_forest.neighbours(v, run=run).select("a", "b"))
+    assert len(got & truth) / len(truth) >= 0.9
+
+
 def test_neighbours_of_a_query_set_are_exact(spark, rows):
     data = clustered(2)
     near = prefix_forest.neighbours(frame(spark, data), dim=48, queries="node % 5 = 0", exact=True)
