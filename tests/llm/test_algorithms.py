@@ -162,6 +162,18 @@ def test_recall_at_two_digits(spark, rows, run, monkeypatch):
     assert len(got & truth) / len(truth) >= 0.9
 
 
+@pytest.mark.parametrize("run", [8192, 16])
+def test_many_near_copies_are_taken_by_lower_node(spark, rows, run):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(48)
+    data = clustered(1) + [(200 + i, [float(x) for x in (v * rng.uniform(0.1, 9)).astype(np.float16)]) for i in range(60)]
+    order = [i for i, _ in data]
+    truth = {(order[a], order[b]) for a, b in brute_neighbours(data)}
+    got = rows(prefix_forest.neighbours(frame(spark, data), dim=48, run=run).select("a", "b"))
+    hot = lambda pairs: {p for p in pairs if p[0] >= 200}
+    assert hot(got) == hot(truth)
+
+
 def test_neighbours_of_a_query_set_are_exact(spark, rows):
     data = clustered(2)
     near = prefix_forest.neighbours(frame(spark, data), dim=48, queries="node % 5 = 0", exact=True)
