@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.operators import kmeans
-from passagework.operators.search import BLOCK, _products, packed, top_k
+from passagework.operators.search import BLOCK, _products, exact_topk, packed, top_k
 from passagework.runtime import materialize, ship
 
 
@@ -98,6 +98,14 @@ def sweep(queries: DataFrame, ivf: IVF, k: int, n_probes: list[int]) -> DataFram
     return top_k(spread, ["n_probes", "query_id"], "score", "vec_id", k).select("n_probes", "query_id", "rank", "vec_id", "score")
 
 
+def enough_probes(queries: DataFrame, corpus: DataFrame, ivf: IVF, k: int, recall: float) -> int:
+    """Fewest probes, in steps of a sixteenth of the clusters, with which ``queries`` reach ``recall`` against exact search; at worst all."""
+    steps = sorted({max(1, -(-ivf.k * i // 16)) for i in range(1, 17)})
+    measured = recall_vs_exact(sweep(queries, ivf, k, steps), exact_topk(queries, corpus, k), ["n_probes"])
+    good = [r["n_probes"] for r in measured.collect() if r["recall"] >= recall]
+    return min(good, default=ivf.k)
+
+
 def recall_vs_exact(found: DataFrame, exact: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of the exact neighbours that were found, as a mean over the queries."""
     by = by or []

@@ -45,6 +45,24 @@ def test_seeds_are_vectors_and_repeatable(spark, init):
     assert all((np.abs(x - s).max(axis=1) < 1e-9).any() for s in a)
 
 
+@pytest.mark.parametrize(("name", "sf"), [("ivf_trained_topk", "sf0.01"), ("ivf_trained_topk", "sf0.1"), ("stream_ivf_trained_feed", "sf0.01")])
+def test_trained_index_finds_nine_of_ten(spark, name, sf):
+    import numpy as np
+
+    folder = f"/root/testdata/{sf}"
+    found = {}
+    for r in catalog.QUERIES[name](spark, folder).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asking = np.flatnonzero(ids % 50 == 0)
+    best = ids[np.argsort(-np.round(x[asking] @ x.T, 6), axis=1, kind="stable")[:, :10]]
+    recall = np.mean([len(found[ids[a]] & set(b.tolist())) / 10 for a, b in zip(asking, best)])
+    print(name, sf, "recall", recall)
+    assert recall >= 0.9
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
