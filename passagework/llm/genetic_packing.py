@@ -163,7 +163,7 @@ def pack(documents: DataFrame, packs: DataFrame, node: str = "doc_id", text: str
     """
     ship(documents.sparkSession)
     packs = packs.where("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
-    sizes = [(r["pack_name"], r["capacity"]) for r in packs.limit(10_000).collect()]
+    sizes = [(r["pack_name"], r["capacity"]) for r in packs.collect()]
     counts = materialize(_tokens.token_counts(documents, node, text, path), "tokens")
     if not sizes:
         return counts.select(F.lit("").alias("pack_name"), F.lit(0).cast("long").alias("container"), F.lit(0).alias("position"), "doc_id", F.lit(0).cast("long").alias("piece"), "tokens", F.lit(0).cast("long").alias("unused")).where("false")

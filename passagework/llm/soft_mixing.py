@@ -26,8 +26,8 @@ from passagework.runtime import materialize, ship
 #: Labelled documents per source that the classifier is fitted on, at most about.
 FIT_PER_SOURCE = 400
 FEATURES = 4096
-#: Domains the classifier tells apart, at most; the rest of the sources is one domain "".
-DOMAINS = 64
+#: Rows made dense at once when the classifier is fitted.
+DENSE = 1 << 15
 STEPS = 40
 BINS = 8192
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -69,17 +69,29 @@ def fit_softmax(rows: list[list[int]], labels: np.ndarray, k: int, steps: int =
     at = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
     f = np.concatenate([np.array([*r, FEATURES]) for r in rows])
     scale = 1 / np.sqrt(np.bincount(at))
-    x = np.zeros((len(rows), FEATURES + 1), np.float32)
-    x[at, f] = scale[at]
-    y = np.eye(k)[labels]
+    starts = np.arange(0, len(rows), DENSE)
+    cuts = np.searchsorted(at, [*starts, len(rows)])
+
+    def dense(i: int) -> np.ndarray:
+        x = np.zeros((min(DENSE, len(rows) - starts[i]), FEATURES + 1), np.float32)
+        here = slice(cuts[i], cuts[i + 1])
+        x[at[here] - starts[i], f[here]] = scale[at[here]]
+        return x
+
+    whole = dense(0) if len(starts) == 1 else None
     unseen = np.bincount(labels, minlength=k) == 0
     weight = (len(labels) / (k * np.maximum(1, np.bincount(labels, minlength=k))))[labels]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for i in range(1, steps + 1):
-        z = np.where(unseen, -1e9, x @ w.astype(np.float32))
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ ((p - y) * weight[:, None]).astype(np.float32) / len(rows) + 1e-4 * w
+        g = 1e-4 * w
+        for b, start in enumerate(starts):
+            x = dense(b) if whole is None else whole
+            z = np.where(unseen, -1e9, x @ w.astype(np.float32))
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            own = labels[start : start + DENSE]
+            p[np.arange(len(own)), own] -= 1
+            g += x.T @ (p * weight[start : start + DENSE, None]).astype(np.float32) / len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     w[:, unseen] = -1e6
@@ -110,9 +122,7 @@ def memberships(documents: DataFrame, domains: list[str], node: str, text: str,
     index = F.when(place > 0, place).otherwise(len(domains)).cast("int")
     hard = rows.where("source is not null").select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(len(domains))), lambda i: (i == index).cast("double")).alias("p"))
     counts = {r["i"]: r["n"] for r in rows.where("source is not null").groupBy((index - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.lit(0.0)
-    for i, n in counts.items():
-        rate = F.when(index == i + 1, min(1.0, FIT_PER_SOURCE / n)).otherwise(rate)
+    rate = F.element_at(F.array(*[F.lit(min(1.0, FIT_PER_SOURCE / counts.get(i, 1))) for i in range(len(domains))]), index)
     picked = rows.where("source is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < rate * 1_000_000)
     sample = picked.select("doc_id", (index - 1).cast("string").alias("source"), "text").mapInArrow(_features, "doc_id long, source string, features array<int>").limit(2 * FIT_PER_SOURCE * len(domains)).collect()
     w = fit_softmax([r["features"] for r in sample], np.array([int(r["source"]) for r in sample], int), len(domains))
@@ -191,8 +201,8 @@ def mix(documents: DataFrame, targets: DataFrame, node: str = "doc_id", text: st
     spark = documents.sparkSession
     ship(spark)
     listed = targets.select("mix_name", canonical(F.col("source")).alias("source"), "target_share", "max_repeats").where("mix_name is not null and source is not null and target_share > 0 and not isnan(target_share) and max_repeats > 0")
-    listed = listed.groupBy("mix_name", "source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("mix_name", "source").limit(10_000).collect()
-    names = sorted({r["source"] for r in listed})[: DOMAINS - 1]
+    listed = listed.groupBy("mix_name", "source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("mix_name", "source").collect()
+    names = sorted({r["source"] for r in listed})
     domains = [*names, ""]
     tokens = _tokens.token_counts(documents, node, text, path)
     p = memberships(documents, domains, node, text, source).dropDuplicates(["doc_id"])
@@ -203,7 +213,7 @@ def mix(documents: DataFrame, targets: DataFrame, node: str = "doc_id", text: st
     for name in sorted({r["mix_name"] for r in listed}):
         share, caps = np.zeros(len(domains)), np.zeros(len(domains))
         for r in listed:
-            if r["mix_name"] == name and r["source"] in names:
+            if r["mix_name"] == name:
                 share[names.index(r["source"])], caps[names.index(r["source"])] = r["share"], r["cap"]
         cap = F.element_at(F.array(*[F.lit(int(c)) for c in caps]), F.col("domain") + 1).alias("cap")
         history, target = fit_rates(classes.select("p", "tokens", cap), share, caps)
@@ -229,11 +239,13 @@ def _cuts(rated: DataFrame, target: np.ndarray, k: int) -> np.ndarray:
     bin_ = F.floor((F.col("edge") + 1) * (BINS / 2)).cast("int")
     rows = rated.where("edge is not null").groupBy("domain", bin_.alias("bin")).agg(F.sum("tokens").alias("t")).collect()
     out = np.full(k, -2.0)
+    of: dict[int, list] = {}
+    for r in rows:
+        of.setdefault(r["domain"], []).append(r)
     for d in range(k):
         h = np.zeros(BINS + 1)
-        for r in rows:
-            if r["domain"] == d:
-                h[min(max(r["bin"], 0), BINS)] += r["t"]
+        for r in of.get(d, []):
+            h[min(max(r["bin"], 0), BINS)] += r["t"]
         total = (base.get(d) or 0) + np.concatenate([[0], np.cumsum(h)])
         out[d] = int(np.abs(total - target[d]).argmin()) / (BINS / 2) - 1
     return out

@@ -123,6 +123,20 @@ def test_mix_meets_targets_and_repeats(spark):
     assert soft_mixing.mix(df, targets.limit(0)).count() == 0 and soft_mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_all_listed_sources_are_drawn(spark):
+    names = [f"s{i:03d}" for i in range(80)]
+    df = spark.createDataFrame([(i, f"word {i}", names[i % 80]) for i in range(800)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", n, 1 / 80, 1) for n in names], "mix_name string, source string, target_share double, max_repeats int")
+    assert {r["source"] for r in soft_mixing.mix(df, targets).select("source").distinct().collect()} == set(names)
+
+
+def test_softmax_fitted_in_parts(monkeypatch):
+    rows, labels = [[i % 7, 50 + i % 3] for i in range(60)], np.arange(60) % 3
+    whole = soft_mixing.fit_softmax(rows, labels, 4)
+    monkeypatch.setattr(soft_mixing, "DENSE", 16)
+    assert np.abs(soft_mixing.fit_softmax(rows, labels, 4) - whole).max() < 1e-2
+
+
 # abuse
 
 
