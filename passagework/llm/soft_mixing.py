@@ -42,7 +42,7 @@ def canonical(source: Column) -> Column:
 def featurize(text: str) -> list[int]:
     """Hashed words, and first words and lengths of lines, each once."""
     out = set()
-    for w in WORD.findall(text.lower())[:100_000]:
+    for w in WORD.findall(text.lower()):
         out.add(xxhash.xxh32_intdigest(w) % FEATURES)
     lines = text.split("\n")
     out.add(xxhash.xxh32_intdigest(f"lines {min(len(lines), 20)}") % FEATURES)

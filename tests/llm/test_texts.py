@@ -123,6 +123,12 @@ def test_mix_meets_targets_and_repeats(spark):
     assert soft_mixing.mix(df, targets.limit(0)).count() == 0 and soft_mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_features_are_of_the_whole_text():
+    import xxhash
+
+    assert xxhash.xxh32_intdigest("last") % soft_mixing.FEATURES in soft_mixing.featurize("word " * 100_000 + "last")
+
+
 def test_all_listed_sources_are_drawn(spark):
     names = [f"s{i:03d}" for i in range(80)]
     df = spark.createDataFrame([(i, f"word {i}", names[i % 80]) for i in range(800)], "doc_id long, text string, source string")
