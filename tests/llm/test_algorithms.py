@@ -117,6 +117,19 @@ def test_density_sets(spark, rows):
     assert density_clusters.density_sets(frame(spark, []), dim=48)[0].count() == 0
 
 
+def test_lone_pairs_near_the_limit(spark, rows):
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(400):
+        u, v = np.linalg.qr(rng.standard_normal((384, 2)))[0].T
+        c = 0.801 + 0.02 * (i / 400)
+        data += [(2 * i, u.tolist()), (2 * i + 1, (c * u + np.sqrt(1 - c * c) * v).tolist())]
+    sets, _ = density_clusters.density_sets(frame(spark, data))
+    got = rows(sets.where("node <> root").select("root", "node"))
+    print("lone pairs found", len(got))
+    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 0.6 * 400
+
+
 def test_vectors_stored_often_are_one_set(spark, rows):
     v = [float(x) for x in np.random.default_rng(3).standard_normal(48)]
     data = [(i, v) for i in range(40)] + [(50, [-x for x in v])]
