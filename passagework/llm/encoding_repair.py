@@ -46,7 +46,7 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250
 WRITTEN_IN = tuple(
     (r, w)
     for r in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp1250", "cp1253")
-    for w in ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7", "cp1250", "iso8859-2", "cp852", "cp932", "euc_jp", "cp1252", "mac_roman")
+    for w in ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7", "cp1250", "iso8859-2", "cp852", "cp932", "euc_jp", "cp1252", "mac_roman", "cp850", "cp437", "latin-1")
     if r != w
 )
 
@@ -244,7 +244,8 @@ def _single_pass(text: str, d: Dictionaries) -> tuple[str, bool]:
     for s, e in runs:
         run = text[s:e]
         beyond = NON_ASCII.findall(run)
-        if len(beyond) < 2 or not set(beyond) - {"’", "“", "”", "–", "—", "…", " "}:
+        lone = len(beyond) < 2
+        if not set(beyond) - {"’", "“", "”", "–", "—", "…", " "}:
             continue
         words = [w for w in WORD.findall(run) if NON_ASCII.search(w)]
         if words and sum(w.lower() in d.words for w in words) * 2 > len(words):
@@ -261,8 +262,11 @@ def _single_pass(text: str, d: Dictionaries) -> tuple[str, bool]:
                 continue
             if any(c > "\x7f" and c not in d.chars for c in new) or not d.knows(new):
                 continue
-            n = d.cost(new) + STEP_COST + 2
-            if n < least:
+            # one character says little in bytes; there the dictionary has to know the word with its new character
+            if lone and not any(len(w) > 3 and NON_ASCII.search(w) and w.lower() in d.words for w in WORD.findall(new)):
+                continue
+            n = d.cost(new) + (0 if lone else STEP_COST + 2)
+            if n < least or lone and best == run:
                 best, least = new, n
         if best != run:
             out.append(text[at:s] + best)

@@ -31,6 +31,12 @@ def test_round_trips(text, written, read):
     assert encoding_repair.repair(garbled, dictionaries()) == (True, text)
 
 
+@pytest.mark.parametrize(("text", "written", "read"), [("on chce tłumaczy to zimą", "cp1250", "cp1252"), ("in der straße there", "cp850", "cp1252"), ("in der straße there", "cp437", "cp1252")])
+def test_one_garbled_character_in_a_known_word(text, written, read):
+    d = encoding_repair.Dictionaries({"de": [("straße", 50), ("höhe", 50), ("brücke", 50)], "pl": [("tłumaczy", 50), ("zimą", 50), ("łódź", 50)], "en": [("walk", 50), ("bridge", 50)]})
+    assert encoding_repair.repair(text.encode(written).decode(read), d) == (True, text)
+
+
 def test_twice_garbled():
     text = "Die Prüfung ändert die Höhe"
     once = text.encode("utf-8").decode("latin-1")
