@@ -315,6 +315,8 @@ def speaking(counts: np.ndarray, whole: np.ndarray, n_rated: int, n_all: int, ra
     documents have a feature, each of them was drawn with the chance n_rated / abusive documents; if
     any may have it, with n_rated / n_all.
     """
+    if not n_rated:
+        return np.zeros(len(counts), bool)
     p0 = min(0.5, n_rated / max(1, n_all))
     p1 = min(0.98, max(p0 * 1.5, n_rated / max(1.0, n_all * rate)))
     b = np.maximum(whole, counts)
