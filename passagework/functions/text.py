@@ -47,6 +47,15 @@ def md5_seed(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def iso_time(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def time_stamp(t: Column) -> Column:
+    """Date and time as they stand in names of files."""
+    return F.date_format(t, "yyyyMMdd_HHmmss")
+
+
 def human_size(size: Column) -> Column:
     """Bytes in GB, MB or KB with one decimal."""
 

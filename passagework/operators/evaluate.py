@@ -74,6 +74,12 @@ def judged_queries(queries: DataFrame, most: int | None = None, order: str = "id
     return kept if most is None else kept.orderBy(order).limit(most)
 
 
+def comparison_line(metric: Column, before: Column, after: Column) -> Column:
+    """A line of text that shows a metric before and after."""
+    word = F.when(after > before, " (more)").when(after < before, " (less)").otherwise(" (same)")
+    return F.concat(metric, F.lit(": "), F.format_string("%.2f", before), F.lit(" -> "), F.format_string("%.2f", after), word)
+
+
 def improvement(baseline: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
     """``key, before, after, ratio``: how many times less the other takes; infinite where it takes nothing."""
     x, y = baseline.select(key, F.col(value).alias("before")), other.select(key, F.col(value).alias("after"))

@@ -74,7 +74,36 @@ def config_grid(configs: DataFrame, modes: DataFrame) -> DataFrame:
     return configs.withColumn("_k", F.lit(1)).join(modes.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def max_abs_diff(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
+def updated(a: Column, b: Column) -> Column:
+    """Map ``a`` updated with ``b``: what both have is taken from ``b``; a null map counts as an empty one."""
+    empty = F.create_map().cast("map<string,double>")
+    x, y = F.coalesce(a, empty), F.coalesce(b, empty)
+    return F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y)
+
+
+def without_metadata(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows none of whose named columns begins with an underscore; null names are left out."""
+    for c in columns:
+        df = df.where(~F.startswith(F.col(c), F.lit("_")))
+    return df
+
+
+def lookup(plan: DataFrame, grid: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``plan`` with what the grid holds for their key; what it does not hold is left out."""
+    return plan.join(grid, key)
+
+
+def stage_totals(values: DataFrame, key: list[str], stages: dict[str, str], queries: int) -> DataFrame:
+    """``*key, total_ms, complete``: so many queries one after the other through all stages (name to section); a missing stage counts as 0."""
+    sums = values.groupBy(*key).agg(*[F.sum(F.when(F.col("section") == section, F.col("value"))).alias(name) for name, section in stages.items()])
+    total = sum((F.coalesce(n, F.lit(0.0)) for n in stages), F.lit(0.0)) * queries
+    complete = F.lit(True)
+    for n in stages:
+        complete = complete & F.col(n).isNotNull()
+    return sums.select(*key, F.round(total, 4).alias("total_ms"), complete.alias("complete"))
+
+
+def max_abs_diff(a: DataFrame, b: DataFrame, key: list[str], value: str, digits: int = 6) -> DataFrame:
     """Largest difference of two kernels' results, and how many rows they share."""
     joined = a.select(*key, F.col(value).alias("_a")).join(b.select(*key, F.col(value).alias("_b")), key)
-    return joined.agg(F.round(F.max(F.abs(F.col("_a") - F.col("_b"))), 6).alias("max_abs_diff"), F.count(F.lit(1)).alias("n"))
+    return joined.agg(F.round(F.max(F.abs(F.col("_a") - F.col("_b"))), digits).alias("max_abs_diff"), F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ from passagework.runtime import ship
 
 MAX_CONTEXT = 3000
 #: Parts of a prompt.
+INSTRUCTION = "Answer the question based on the provided context. If the context doesn't contain enough information, say so.\n\n"
 SEPARATOR = "\n\n---\n\n"
 MARK = "..."
 
@@ -60,13 +61,39 @@ def context_block(group: list[str], contexts: DataFrame, text: str = "text") ->
 
 
 def prompt(question: Column, context: Column) -> Column:
-    return F.concat(F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+    """The whole prompt: instruction, context and question."""
+    return F.concat(F.lit(INSTRUCTION + "Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
 
 
 def simulated_answer(question: Column, documents: Column, latency_ms: int = 500) -> Column:
     return F.concat(F.lit("Simulated answer to '"), F.substring(question, 1, 50), F.lit("' from "), documents.cast("string"), F.lit(f" contexts ({latency_ms} ms)"))
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """``contexts`` as they stand in a prompt: each under its number."""
+    headed = F.transform("contexts", lambda c, i: F.concat(F.lit("[Document "), (i + 1).cast("string"), F.lit("]\n"), c))
+    return items.withColumn("contexts", headed)
+
+
+def generate_streams(items: DataFrame, generator, key: str = "id") -> DataFrame:
+    """``key, answer, ttft_ms, total_ms, prompt_tokens`` of items (key, text, contexts array<string>).
+
+    The generator's ``generate_stream`` gives each answer with the time to its first token.  A null
+    text or null contexts count as empty.
+    """
+    ship(items.sparkSession)
+    rows = items.select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    rows = rows.withColumn("prompt_tokens", prompt_tokens(prompt(F.col("text"), F.array_join("contexts", SEPARATOR))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [generator.generate_stream(q, c) for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = [pa.array([o["answer"] for o in out], pa.string()), *[pa.array([o[n] for o in out], pa.float64()) for n in ("ttft_ms", "total_ms")]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(3)], [key, "answer", "ttft_ms", "total_ms", "prompt_tokens"])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, answer string, ttft_ms double, total_ms double, prompt_tokens int")
+
+
 def generate(items: DataFrame, generator: Generator, key: str = "id", batch: int = 16, mode: str = "sequential", workers: int = 8) -> DataFrame:
     """``key, answer, prompt_tokens`` of items (key, text, contexts array<string>)."""
     if mode not in ("sequential", "threaded", "async"):

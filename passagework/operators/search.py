@@ -99,6 +99,28 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, strategy: str
     return top_k(scored, ["query_id"], "score", "vec_id", k).select("query_id", "rank", "vec_id", "score")
 
 
+def block_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``query_id, vec_id, score`` of every query against every vector, by block products."""
+    ship(corpus.sparkSession)
+    c, q = packed(corpus, [], BLOCK, "c"), packed(queries, [], BLOCK, "q")
+    pairs = _with_parts(q, c.select("c_part").distinct()).join(c, "c_part").select("q_id", "q_embedding", "q_norm", "c_id", "c_embedding", "c_norm")
+    return pairs.mapInArrow(_products(1 << 62), "query_id long, vec_id long, score double")
+
+
+#: Kernels of the exact search by name, as (strategy, whether stored norms are used).
+KERNELS = {"columns": ("expr", False), "columns, stored norms": ("expr", True), "blocks": ("arrow", False), "blocks, stored norms": ("arrow", True)}
+
+
+def by_kernel(name: str, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """:func:`exact_topk` by one of ``KERNELS``."""
+    if name not in KERNELS:
+        raise ValueError(f"unknown kernel {name!r}")
+    strategy, stored = KERNELS[name]
+    if not stored:
+        queries, corpus = (x.withColumn("norm", vector.l2_norm(F.col("embedding"))) for x in (queries, corpus))
+    return exact_topk(queries, corpus, k, strategy)
+
+
 def _with_parts(q: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every query block once for each corpus block; the numbers of the blocks are consecutive."""
     high = blocks.agg(F.max("c_part").alias("m")).collect()[0]["m"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +112,46 @@ def sizes(preset: str = "medium", passages: int | None = None, queries: int | No
     return passages or p, queries or q
 
 
+def build_counts(passages: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``passages, chunks, vectors, paired, complete``: different ids of each, and how many chunks have a vector."""
+    c, v = chunks.select(F.col("id").alias("chunk_id")).where("chunk_id is not null").distinct(), vectors.select("chunk_id").where("chunk_id is not null").distinct()
+    both = c.withColumn("c", F.lit(1)).join(v.withColumn("v", F.lit(1)), "chunk_id", "full_outer")
+    out = both.agg(F.count("c").alias("chunks"), F.count("v").alias("vectors"), F.count(F.col("c") + F.col("v")).alias("paired"))
+    whole = passages.agg(F.count(F.lit(1)).alias("passages"))
+    out = whole.withColumn("_k", F.lit(1)).join(out.withColumn("_k", F.lit(1)), "_k")
+    return out.select("passages", "chunks", "vectors", "paired", ((F.col("chunks") == F.col("paired")) & (F.col("vectors") == F.col("paired"))).alias("complete"))
+
+
+#: What a knowledge base consists of.
+REQUIRED = ("passages.parquet", "chunks.parquet", "vectors.parquet", "queries.parquet")
+
+
+def presence(spark: SparkSession, folder: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """``file, present, size``: which of the required files or folders are there, and how large they are; contents are not read."""
+    from passagework.functions.text import human_size
+
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    except AnalysisException:  # no such folder
+        found = spark.createDataFrame([], "path string, length long")
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.regexp_extract("path", f"/{re.escape(root)}/([^/]+)", 1)
+    sizes = found.groupBy(name.alias("file")).agg(F.sum("length").alias("bytes"))
+    wanted = spark.createDataFrame([(r,) for r in required], "file string")
+    out = wanted.join(sizes, "file", "left")
+    return out.select("file", F.col("bytes").isNotNull().alias("present"), human_size(F.coalesce("bytes", F.lit(0))).alias("size"))
+
+
+def write_build_report(stages: DataFrame, folder: str, path: str) -> DataFrame:
+    """One row of a build: seconds of each stage, their sum, and digest and size of every file below ``folder``."""
+    files = manifest(stages.sparkSession, folder)
+    times = stages.agg(F.map_from_entries(F.collect_list(F.struct("stage", "seconds"))).alias("seconds"), F.sum("seconds").alias("total_seconds"))
+    listed = files.agg(F.sort_array(F.collect_list(F.struct("file", "sha256", "size_bytes"))).alias("files"))
+    report = times.withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    write_report(report, path)
+    return report
+
+
 def check_knowledge_base(kb: KnowledgeBase) -> DataFrame:
     """``what, chunks, vectors, ok``: whether each chunk has a vector and each vector a chunk."""
     c, v = kb.chunks.select(F.col("id").alias("chunk_id")).distinct(), kb.vectors.select("chunk_id").where("chunk_id is not null").distinct()

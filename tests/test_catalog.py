@@ -2,7 +2,7 @@ import pytest
 
 from compare import connect, same
 from conftest import SF
-from passagework.plans import catalog
+from passagework.plans import bookkeeping, catalog, retrieval  # noqa: F401
 
 
 @pytest.fixture(scope="module")
