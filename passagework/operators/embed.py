@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,10 @@ def embed_cached(texts: DataFrame, embedder: Embedder, path: str, key: str = "id
     rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
     try:
         known = spark.read.parquet(path)
-    except Exception:  # nothing was kept so far
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing was kept so far
         known = None
     new = rows.groupBy("digest").agg(F.min("text").alias("text"))
     if known is not None:

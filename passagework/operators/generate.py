@@ -65,6 +65,18 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(INSTRUCTION + "Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
 
 
+def prompt_text(question: str, contexts: list[str], most: int = MAX_CONTEXT) -> str:
+    """The same for one question, with its contexts cut to the budget and numbered."""
+    parts, used = [], 0
+    for c in contexts:
+        if used >= most:
+            break
+        room = most - used
+        parts.append(f"[Document {len(parts) + 1}]\n" + (c if len(c) <= room else c[:room] + MARK))
+        used += len(c)
+    return f"{INSTRUCTION}Context:\n{SEPARATOR.join(parts)}\n\nQuestion: {question}\n\nAnswer:"
+
+
 def simulated_answer(question: Column, documents: Column, latency_ms: int = 500) -> Column:
     return F.concat(F.lit("Simulated answer to '"), F.substring(question, 1, 50), F.lit("' from "), documents.cast("string"), F.lit(f" contexts ({latency_ms} ms)"))
 

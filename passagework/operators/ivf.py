@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,14 @@ def build(index: DataFrame, k: int, iterations: int = 20, seed: int = 42, init:
     return IVF(centroids, near.join(index, "id").select("cluster_id", "id", "embedding", "norm"))
 
 
+def build_timed(index: DataFrame, k: int, **options) -> tuple[IVF, float]:
+    """An index whose postings are written, and the seconds that took."""
+    began = time.perf_counter()
+    made = build(index, k, **options)
+    made.postings = materialize(made.postings, "postings")
+    return made, time.perf_counter() - began
+
+
 def posting_sizes(ivf: IVF) -> DataFrame:
     """``cluster_id, size`` of every cluster, empty ones too."""
     spark = ivf.postings.sparkSession
@@ -68,9 +78,12 @@ def _candidates(queries: DataFrame, ivf: IVF, n_probes: int, k: int) -> DataFram
     ship(queries.sparkSession)
     asked = materialize(probes(queries, ivf, n_probes).join(queries, "id").select("cluster_id", "cluster_rank", "id", "embedding", "norm"), "probes").where("cluster_id >= 0")
     wanted = asked.select("cluster_id").distinct()
-    blocks = packed(ivf.postings.join(wanted, "cluster_id", "left_semi"), ["cluster_id"], BLOCK, "c")
-    asking = packed(asked, ["cluster_id"], BLOCK, "q")
-    scored = asking.join(blocks, "cluster_id").select("q_id", "q_embedding", "q_norm", "c_id", "c_embedding", "c_norm").mapInArrow(_products(k), "query_id long, vec_id long, score double")
+    postings = ivf.postings.join(wanted, "cluster_id", "left_semi")
+    blocks = packed(postings, ["cluster_id"], BLOCK, "c")
+    # a query block goes to each part of its cluster by number, so a cluster of any size is spread over tasks
+    parts = postings.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    asking = packed(asked, ["cluster_id"], BLOCK, "q").join(parts, "cluster_id").withColumn("c_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    scored = asking.join(blocks, ["cluster_id", "c_part"]).select("q_id", "q_embedding", "q_norm", "c_id", "c_embedding", "c_norm").mapInArrow(_products(k), "query_id long, vec_id long, score double")
     return scored.withColumn("score", F.round("score", 6))
 
 

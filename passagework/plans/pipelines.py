@@ -97,6 +97,11 @@ def answer(queries: DataFrame, corpus: DataFrame, index: ivf.IVF | None, texts:
     """
     q = queries.select("id", "embedding", "norm")
     hits = search.exact_topk(q, corpus, k, config.strategy) if config.index == "exact" else ivf.search(q, index, k, min(config.n_probes, index.k))
+    return answered(queries, hits, texts, config)
+
+
+def answered(queries: DataFrame, hits: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+    """``id, answer, prompt_tokens`` from ranked hits (query_id, rank, vec_id)."""
     found = hits.join(texts.select(F.col("id").alias("vec_id"), "text"), "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     kept = generate.budgeted(found, ["query_id"], ["rank"]).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]).alias("contexts"))
     items = queries.select("id", "text").join(kept.withColumnRenamed("query_id", "id"), "id", "left")

@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
     local = os.path.join(tempfile.gettempdir(), f"passagework-{os.getpid()}")
     os.makedirs(local, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{local}")

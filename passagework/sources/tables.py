@@ -28,22 +28,57 @@ def stream_jsonl(spark: SparkSession, path: str, like: T.StructType, files: int
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """``vec_id, embedding`` of two-dimensional NPY files; rows are numbered within each file."""
+    """``file, vec_id, embedding`` of two-dimensional NPY files of numbers, rows numbered through all files in order of their names.
+
+    Only headers are read at first; then every task reads ranges of ``NPY_ROWS`` rows by their offset,
+    so a file may be of any size.
+    """
     ship(spark)
+    names = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())  # one row for each file
+    ranges, before = [], 0
+    for name in names:
+        rows, width, kind, start = _npy_header(name)
+        step = np.dtype(kind).itemsize * width
+        ranges += [(name, before + i, start + i * step, min(NPY_ROWS, rows - i), width, kind) for i in range(0, rows, NPY_ROWS)]
+        before += rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
-                for i in range(0, len(x), 4096):
-                    part = x[i : i + 4096]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, x.shape[1], dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), lists], ["file", "vec_id", "embedding"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, vec_id long, embedding array<float>")
+            for r in b.to_pylist():
+                with _opened(r["file"]) as source:
+                    source.seek(r["at"])
+                    x = np.frombuffer(source.read(r["rows"] * r["width"] * np.dtype(r["kind"]).itemsize), r["kind"]).astype(np.float32)
+                n, width = r["rows"], r["width"]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(x))
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * n), pa.array(np.arange(r["first"], r["first"] + n)), lists], ["file", "vec_id", "embedding"])
+
+    table = spark.createDataFrame(ranges, "file string, first long, at long, rows int, width int, kind string")
+    return table.repartition(max(1, min(len(ranges), 4096))).mapInArrow(run, "file string, vec_id long, embedding array<float>")
+
+
+#: Rows of an NPY file that are read at once.
+NPY_ROWS = 1 << 14
+
+
+def _opened(name: str):
+    """A file of any file system that Arrow knows, with random access."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+    return system.open_input_file(path)
+
+
+def _npy_header(name: str) -> tuple[int, int, str, int]:
+    """(rows, columns, type, where the numbers begin); other than two dimensions in C order is an error."""
+    import io
+
+    with _opened(name) as source:
+        head = io.BytesIO(source.read(1 << 16))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if len(shape) != 2 or fortran or kind.hasobject:
+        raise ValueError(f"{name} is no two-dimensional array of numbers in C order")
+    return shape[0], shape[1], kind.str, head.tell()
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
