@@ -12,7 +12,8 @@ random numbers that is chosen from a histogram, so that totals are met without s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ FIT_PER_SOURCE = 400
 FEATURES = 4096
 #: Rows made dense at once when the classifier is fitted.
 DENSE = 1 << 15
-STEPS = 40
+#: Gradient steps at most; they end when the targets are met or ``IDLE`` steps bring less than a thousandth.
+STEPS = 200
+IDLE = 5
+#: Classes of documents up to this number are summed up on the driver, more in a job for each step.
+LOCAL = 20_000
 BINS = 8192
 WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -47,9 +52,9 @@ def featurize(text: str) -> list[int]:
     lines = text.split("\n")
     out.add(xxhash.xxh32_intdigest(f"lines {min(len(lines), 20)}") % FEATURES)
     for line in lines:
-        head = WORD.findall(line[:40])
+        head = [m.group(0) for m in islice(WORD.finditer(line), 2)]
         if head:
-            out.add(xxhash.xxh32_intdigest("head " + re.sub(r"\d+", "0", " ".join(head[:2]))) % FEATURES)
+            out.add(xxhash.xxh32_intdigest("head " + re.sub(r"\d+", "0", " ".join(head))) % FEATURES)
     return sorted(out)
 
 
@@ -162,12 +167,28 @@ def _rates(history: list[np.ndarray]):
     return run
 
 
+def _totals(classes: DataFrame, k: int) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """Expected tokens of each domain after a history of steps; the same numbers for few classes and for many."""
+    if classes.limit(LOCAL + 1).count() <= LOCAL:
+        held = classes.toArrow()
+        p = held.column("p").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        cap, tokens = (held.column(c).to_numpy().astype(float) for c in ("cap", "tokens"))
+        return lambda history: (_step(p, history, cap) * tokens) @ p
+
+    def spread(history: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(k)
+        for r in classes.mapInArrow(_expected(history), "i int, tokens double").groupBy("i").agg(F.sum("tokens").alias("t")).collect():  # one row for each domain
+            total[r["i"]] = r["t"]
+        return total
+
+    return spread
+
+
 def fit_rates(classes: DataFrame, share: np.ndarray, caps: np.ndarray, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     """History of scaled residuals and the target tokens of each domain."""
     k = len(share)
-    most = np.zeros(k)
-    for r in classes.mapInArrow(_expected([np.full(k, -1e9)]), "i int, tokens double").groupBy("i").agg(F.sum("tokens").alias("t")).collect():
-        most[r["i"]] = r["t"]
+    totals = _totals(classes, k)
+    most = totals([np.full(k, -1e9)])
     there = (share > 0) & (most > 0)
     if not there.any():
         return [], np.zeros(k)
@@ -175,16 +196,15 @@ def fit_rates(classes: DataFrame, share: np.ndarray, caps: np.ndarray, steps: in
     target = wanted * (most[there] / wanted[there]).min()
     available = most / np.maximum(caps, 1)
     history: list[np.ndarray] = []
-    total = np.zeros(k)
+    total, misses = np.zeros(k), []
     for _ in range(steps):
         gap = np.where(available > 0, (total - target) / np.maximum(available, 1e-9), 0)
         gap = np.where(there | (total > 0), gap, 0)
-        if np.abs(total - target).sum() <= 1e-4 * target.sum():
+        misses.append(np.abs(total - target).sum())
+        if misses[-1] <= 1e-4 * target.sum() or len(misses) > IDLE and misses[-1] > 0.999 * misses[-1 - IDLE]:
             break
         history.append(gap)
-        total = np.zeros(k)
-        for r in classes.mapInArrow(_expected(history), "i int, tokens double").groupBy("i").agg(F.sum("tokens").alias("t")).collect():
-            total[r["i"]] = r["t"]
+        total = totals(history)
     return history, target
 
 

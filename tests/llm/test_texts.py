@@ -258,3 +258,14 @@ def test_queries_run(spark, name):
 
     df = queries.queries()[name](spark, SF)
     assert df.count() >= 0 and df.columns
+
+
+def test_few_classes_and_many_have_the_same_rates(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [([1.0, 0.0, 0.0], 500, 2), ([0.0, 1.0, 0.0], 3000, 1)] + [(p.tolist(), int(n), 1) for p, n in zip(rng.dirichlet([1, 1, 1], 30), rng.integers(10, 90, 30))]
+    classes = spark.createDataFrame(rows, "p array<double>, tokens long, cap int")
+    share, caps = np.array([0.5, 0.5, 0.0]), np.array([2.0, 1.0, 0.0])
+    near, target = soft_mixing.fit_rates(classes, share, caps)
+    monkeypatch.setattr(soft_mixing, "LOCAL", 0)
+    far, again = soft_mixing.fit_rates(classes, share, caps)
+    assert len(near) == len(far) and np.allclose(near, far) and np.allclose(target, again)
