@@ -51,6 +51,7 @@ WRITTEN_IN = tuple(
 )
 
 NON_ASCII = re.compile("[^\x00-\x7f]")
+PAIR = re.compile("(?=([^\x00-\x7f]{2}))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 JAPANESE = re.compile("[぀-ヿ一-鿿]+")
 PARTICLE = re.compile("[はがをのとにでてっや]")
@@ -165,8 +166,10 @@ class Dictionaries:
             content = " ".join(w for w, _ in reversed(pairs)).encode()
             if len(content) >= 8:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=19)
                 self.compressors.append(zstandard.ZstdCompressor(level=19, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         self.cache: dict[str, int] = {}
+        self.runs: dict[str, str] = {}
 
     def cost(self, s: str) -> int:
         """Bytes of the shortest description of ``s`` in any language."""
@@ -193,39 +196,58 @@ def _around(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+WAYS = [(e, lower) for e in READ_AS for lower in (False, True)]
+
+
+class Ways(dict):
+    """For a pair of characters the ways (as bits) in which it can begin a UTF-8 sequence read in another encoding."""
+
+    def __missing__(self, pair: str) -> int:
+        bits = 0
+        for i, way in enumerate(WAYS):
+            lead, tail = parts(*way)
+            bits |= (pair[0] in lead and pair[1] in tail) << i
+        self[pair] = bits
+        return bits
+
+
+POSSIBLE = Ways()
+
+
 def _utf8_pass(text: str, d: Dictionaries) -> tuple[str, int]:
     """One step back for every stretch that is UTF-8 read as something else, if that shortens it."""
     best, gain = text, 0
-    beyond = set(NON_ASCII.findall(text))
-    for encoding in READ_AS:
-        for lower in (False, True):
-            lead, tail = parts(encoding, lower)
-            if not (beyond & lead and beyond & tail):
+    # a sequence shows as two characters or more beyond ASCII side by side; most intact texts have none that fit
+    possible = 0
+    for pair in set(PAIR.findall(text)):
+        possible |= POSSIBLE[pair]
+    for i, (encoding, lower) in enumerate(WAYS):
+        if not possible >> i & 1:
+            continue
+        out, at, won = [], 0, 0
+        for m in sequences(encoding, lower).finditer(text):
+            new = utf8_step(m.group(0), encoding)
+            if new is None and lower:
+                new = utf8_step(raised(m.group(0)), encoding)
+                new = new and new.lower()
+            if new is None:
+                continue
+            if len(new) >= len(m.group(0)):
                 continue
-            out, at, won = [], 0, 0
-            for m in sequences(encoding, lower).finditer(text):
-                new = utf8_step(m.group(0), encoding)
-                if new is None and lower:
-                    new = utf8_step(raised(m.group(0)), encoding)
-                    new = new and new.lower()
-                if new is None:
-                    continue
-                if len(new) >= len(m.group(0)):
-                    continue
-                s, e = _around(text, m.start(), m.end())
-                before = text[s:e]
-                after = text[s : m.start()] + new + text[m.end() : e]
-                saved = d.cost(before) - d.cost(after) - STEP_COST
-                # what is still garbled is taken back by the next step
-                strange = [c for c in new if c > "\x7f" and c not in d.chars]
-                if strange and not any(p.search(after) for p in (sequences("cp1252"), sequences("latin-1"))):
-                    continue
-                if saved <= 0 and not (strange and len(new) < len(m.group(0))):
-                    continue
-                out.append(text[at : m.start()] + new)
-                at, won = m.end(), won + max(saved, 1)
-            if won > gain:
-                best, gain = "".join(out) + text[at:], won
+            s, e = _around(text, m.start(), m.end())
+            before = text[s:e]
+            after = text[s : m.start()] + new + text[m.end() : e]
+            saved = d.cost(before) - d.cost(after) - STEP_COST
+            # what is still garbled is taken back by the next step
+            strange = [c for c in new if c > "\x7f" and c not in d.chars]
+            if strange and not any(p.search(after) for p in (sequences("cp1252"), sequences("latin-1"))):
+                continue
+            if saved <= 0 and not (strange and len(new) < len(m.group(0))):
+                continue
+            out.append(text[at : m.start()] + new)
+            at, won = m.end(), won + max(saved, 1)
+        if won > gain:
+            best, gain = "".join(out) + text[at:], won
     return best, gain
 
 
@@ -243,19 +265,32 @@ def _single_pass(text: str, d: Dictionaries) -> tuple[str, bool]:
     out, at, found = [], 0, False
     for s, e in runs:
         run = text[s:e]
-        beyond = NON_ASCII.findall(run)
-        lone = len(beyond) < 2
-        if not set(beyond) - {"’", "“", "”", "–", "—", "…", " "}:
-            continue
-        words = [w for w in WORD.findall(run) if NON_ASCII.search(w)]
-        if words and sum(w.lower() in d.words for w in words) * 2 > len(words):
+        best = d.runs.get(run)
+        if best is None:
+            if len(d.runs) > 50_000:
+                d.runs.clear()
+            best = d.runs[run] = _single_run(run, d)
+        if best != run:
+            out.append(text[at:s] + best)
+            at, found = e, True
+    return "".join(out) + text[at:], found
+
+
+def _single_run(run: str, d: Dictionaries) -> str:
+    """A run of words as it was written, or as it is where that is no longer."""
+    beyond = NON_ASCII.findall(run)
+    lone = len(beyond) < 2
+    if not set(beyond) - {"’", "“", "”", "–", "—", "…", " "}:
+        return run
+    words = [w for w in WORD.findall(run) if NON_ASCII.search(w)]
+    if words and sum(w.lower() in d.words for w in words) * 2 > len(words):
+        return run
+    best, least = run, None
+    for read in dict(WRITTEN_IN):
+        raw = encode(run, read)
+        if raw is None:
             continue
-        now = d.cost(run)
-        best, least = run, now
-        for read, written in WRITTEN_IN:
-            raw = encode(run, read)
-            if raw is None:
-                continue
+        for written in (w for r, w in WRITTEN_IN if r == read):
             try:
                 new = raw.decode(written)
             except UnicodeDecodeError:
@@ -265,13 +300,11 @@ def _single_pass(text: str, d: Dictionaries) -> tuple[str, bool]:
             # one character says little in bytes; there the dictionary has to know the word with its new character
             if lone and not any(len(w) > 3 and NON_ASCII.search(w) and w.lower() in d.words for w in WORD.findall(new)):
                 continue
+            least = d.cost(run) if least is None else least
             n = d.cost(new) + (0 if lone else STEP_COST + 2)
             if n < least or lone and best == run:
                 best, least = new, n
-        if best != run:
-            out.append(text[at:s] + best)
-            at, found = e, True
-    return "".join(out) + text[at:], found
+    return best
 
 
 def _back(text: str, d: Dictionaries, single_first: bool) -> tuple[str, bool]:
@@ -308,7 +341,9 @@ def repair(text: str, d: Dictionaries) -> tuple[bool, str | None]:
     now = QUOTED.sub(hide, text)
     lost = "�" in now or bool(CONTROL.search(now))
     first, second = _back(now, d, False), _back(now, d, True)
-    now, changed = min((first, second), key=lambda r: (not r[1], d.cost(r[0])))
+    # whole texts are compared only where both orders changed them, and not in the same way
+    both = first[1] and second[1] and first[0] != second[0]
+    now, changed = min((first, second), key=lambda r: (not r[1], d.cost(r[0]) if both else 0))
     if not (lost or changed):
         return False, None
     back = re.sub(r" \x01(\d+)\x01 ", lambda m: spoken[int(m.group(1))], now)
