@@ -4,8 +4,8 @@ A text is the set of its word n-grams (64-bit hashes).  All n-grams have one tot
 ones last; a text enters the incidence matrix with the shortest prefix of its n-grams in which any
 text similar enough must meet it.  The matrix is multiplied with its transpose block by block: each
 task holds the columns (n-grams) of its range and counts for pairs of texts how many they share.
-Counts are added up over the blocks, pairs below the bound that follows from their sizes are
-discarded, and what is left is compared as whole sets.
+Counts are added up over the blocks, and pairs below the bound that follows from their sizes are
+discarded, by the counts and by bitmaps of the n-grams; what is left is compared as whole sets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ FREQUENT = 1 << 16
 LONG = 128
 #: Texts of a long column are compared in blocks of so many.
 SIDE = 512
+#: Words of 64 bits of a text's bitmap.
+BITMAP = 8
 ROWS = 2000
 
 
@@ -74,14 +76,27 @@ def _shingles(n: int):
                     m ^= m >> np.uint64(27)
                     s = np.concatenate([[0], np.cumsum(m, dtype=np.uint64)]).astype(np.uint64)
                     keys.append((s[ends] - s[ends - size]).view(np.int64))
+                bits = bitmaps(flat, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keep)), pa.array(keys[0]), pa.array(keys[1]), pa.array(size), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))],
-                    ["node", "k1", "k2", "size", "grams"],
+                    [batch.column(0).take(pa.array(keep)), pa.array(keys[0]), pa.array(keys[1]), pa.array(size), *[pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))],
+                    ["node", "k1", "k2", "size", *[f"b{w}" for w in range(BITMAP)], "grams"],
                 )
 
     return run
 
 
+def bitmaps(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bit for each n-gram of a text, ``BITMAP`` words a text.
+
+    Every bit in which two bitmaps differ stands for at least one n-gram that only one text has.
+    """
+    u = flat.view(np.uint64)
+    bit = (u >> np.uint64(20)) % np.uint64(64 * BITMAP)
+    out = np.zeros(len(size) * BITMAP, np.uint64)
+    np.bitwise_or.at(out, np.repeat(np.arange(len(size)), size) * BITMAP + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, BITMAP)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-grams that stand out within a batch, with their counts."""
     for batch in batches:
@@ -115,7 +130,8 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray, t: float):
             within = np.arange(len(flat)) - start[row]
             chosen = order[within < keep[row]]
             r = row[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), pa.array(nodes[r]), pa.array(size[r].astype(np.int32))], ["gram", "node", "size"])
+            # half of the hash names a column well enough; two n-grams in one column only add candidates
+            yield pa.RecordBatch.from_arrays([pa.array((flat[chosen] >> 32).astype(np.int32)), pa.array(nodes[r]), pa.array(size[r].astype(np.int32))], ["gram", "node", "size"])
 
     return run
 
@@ -227,7 +243,7 @@ def near_duplicates(passages: DataFrame, node: str = "ordinal", text: str = "tex
     spark = passages.sparkSession
     ship(spark)
     rows = passages.select(F.col(node).cast("long").alias("node"), F.col(text).cast("string").alias("text")).where("node is not null and text is not null")
-    texts = materialize(rows.mapInArrow(_shingles(n), "node long, k1 long, k2 long, size long, grams array<long>"), "grams")
+    texts = materialize(rows.mapInArrow(_shingles(n), "node long, k1 long, k2 long, size long, " + "".join(f"b{w} long, " for w in range(BITMAP)) + "grams array<long>"), "grams")
     equal = materialize(first_of_key(texts.select("node", "k1", "k2", "size"), ["k1", "k2", "size"], "node").where("node <> first").select("node", "first").distinct(), "equal")
     own = texts.join(equal.select("node"), "node", "left_anti")
     counts = own.select("grams").mapInArrow(_frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -235,27 +251,43 @@ def near_duplicates(passages: DataFrame, node: str = "ordinal", text: str = "tex
     frequent = np.array([r["gram"] for r in top], np.int64)
     rank = np.arange(len(top), 0, -1)
     order = np.argsort(frequent)
-    postings = own.select("node", "grams").mapInArrow(_prefixes(frequent[order], rank[order], t), "gram long, node long, size int")
+    postings = own.select("node", "grams").mapInArrow(_prefixes(frequent[order], rank[order], t), "gram int, node long, size int")
     product = postings.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_product(t, long), "a long, b long, shared int, star boolean")
     pairs = product.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
-    sizes = own.select("node", F.col("size").cast("int").alias("size"))
-    counted = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("y")), "b")
+    counted = _sized(pairs, own)
     # both prefixes are known in full up to the end of the one that ends first; what is beyond is at most its rest
     rest = F.greatest(F.ceil(F.col("x") * t - 1e-9), F.ceil(F.col("y") * t - 1e-9)) - 1
     bound = F.ceil((F.col("x") + F.col("y")) * (t / (1 + t)) - 1e-9)
-    counted = materialize(counted.where(F.col("star") | (F.col("shared") + rest >= bound)).select("a", "b"), "candidates")
+    counted = materialize(counted.where(F.col("star") | (F.col("shared") + rest >= bound)).where(_may_agree(t)).select("a", "b"), "candidates")
     links = _verified(counted, own, t)
     links = materialize(links.union(equal.select(F.col("first").alias("a"), F.col("node").alias("b"))), "links")
     groups = components(links)
     more = _long_columns(postings, groups, t, long)
     if more is not None:
+        more = materialize(_sized(more, own).where(_may_agree(t)).select("a", "b"), "more_candidates")
         extra = materialize(_verified(more, own, t), "more_links")
         if not is_empty(extra):
             groups = components(links.union(extra))
     return groups
 
 
+def _sized(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``pairs`` with the sizes (x, y) of both texts and in how many bits their bitmaps differ."""
+    left = own.select(F.col("node").alias("a"), F.col("size").cast("int").alias("x"), *[F.col(f"b{w}").alias(f"l{w}") for w in range(BITMAP)])
+    right = own.select(F.col("node").alias("b"), F.col("size").cast("int").alias("y"), *[F.col(f"b{w}").alias(f"r{w}") for w in range(BITMAP)])
+    differ = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in range(1, BITMAP)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select(*pairs.columns, "x", "y", differ.alias("differ"))
+
+
+def _may_agree(t: float):
+    """Texts of similarity ``t`` differ in no more n-grams than this, so in no more bits."""
+    return F.col("differ") <= (F.col("x") + F.col("y")) * ((1 - t) / (1 + t)) + 1e-9
+
+
 def _verified(pairs: DataFrame, own: DataFrame, t: float) -> DataFrame:
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = own.select("node", "grams").join(asked, "node", "left_semi")
     x = own.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = own.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(t), "a long, b long")
