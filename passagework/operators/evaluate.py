@@ -75,9 +75,10 @@ def judged_queries(queries: DataFrame, most: int | None = None, order: str = "id
 
 
 def comparison_line(metric: Column, before: Column, after: Column) -> Column:
-    """A line of text that shows a metric before and after."""
+    """A line of text that shows a metric before and after, with two decimals, halves rounded up."""
+    two = lambda x: F.format_string("%.2f", F.floor(F.round(x, 6) * 100 + 0.5) / 100)
     word = F.when(after > before, " (more)").when(after < before, " (less)").otherwise(" (same)")
-    return F.concat(metric, F.lit(": "), F.format_string("%.2f", before), F.lit(" -> "), F.format_string("%.2f", after), word)
+    return F.concat(metric, F.lit(": "), two(before), F.lit(" -> "), two(after), word)
 
 
 def improvement(baseline: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:

@@ -82,7 +82,7 @@ def what_if_totals(spark: SparkSession, d: str) -> DataFrame:
     return experiments.stage_totals(a, ["dataset", "step", "variant"], {"embed": "embedding", "search": "index", "generation": "generation"}, 8)
 
 
-@query(_MEAN + ", b AS (SELECT dataset, metric, avg(value) AS before FROM a WHERE variant = 'bruteforce' GROUP BY ALL), o AS (SELECT dataset, metric, variant, avg(value) AS after FROM a WHERE variant <> 'bruteforce' GROUP BY ALL) SELECT dataset, variant, metric, metric || ': ' || printf('%.2f', before) || ' -> ' || printf('%.2f', after) || CASE WHEN after > before THEN ' (more)' WHEN after < before THEN ' (less)' ELSE ' (same)' END AS line FROM b JOIN o USING (dataset, metric)")
+@query(_MEAN + ", b AS (SELECT dataset, metric, avg(value) AS before FROM a WHERE variant = 'bruteforce' GROUP BY ALL), o AS (SELECT dataset, metric, variant, avg(value) AS after FROM a WHERE variant <> 'bruteforce' GROUP BY ALL) SELECT dataset, variant, metric, metric || ': ' || printf('%.2f', floor(round(before, 6) * 100 + 0.5) / 100) || ' -> ' || printf('%.2f', floor(round(after, 6) * 100 + 0.5) / 100) || CASE WHEN after > before THEN ' (more)' WHEN after < before THEN ' (less)' ELSE ' (same)' END AS line FROM b JOIN o USING (dataset, metric)")
 def comparison_lines(spark: SparkSession, d: str) -> DataFrame:
     """A line of text for every metric of each variant beside the baseline."""
     a = means(spark, d, "dataset", "step", "section", "metric", "variant")
