@@ -2,10 +2,11 @@
 
 A text is the set of its word n-grams (64-bit hashes).  All n-grams have one total order, frequent
 ones last; a text enters the incidence matrix with the shortest prefix of its n-grams in which any
-text similar enough must meet it.  The matrix is multiplied with its transpose block by block: each
-task holds the columns (n-grams) of its range and counts for pairs of texts how many they share.
-Counts are added up over the blocks, and pairs below the bound that follows from their sizes are
-discarded, by the counts and by bitmaps of the n-grams; what is left is compared as whole sets.
+text similar enough must meet it in ``MEET`` of them.  The matrix is multiplied with its transpose
+block by block: each task holds the columns (n-grams) of its range and counts for pairs of texts how
+many they share within the prefixes that follow from the sizes of both.  Counts are added up over
+the blocks, and pairs that meet less often are discarded, others by bitmaps of the n-grams; what is
+left is compared as whole sets, made from the texts again, so no n-grams are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from passagework.runtime import is_empty, materialize, ship
 
 WORD = re.compile(r"[^\W_]+")
 #: Frequent n-grams that are kept in order of their counts; the table is broadcast, 16 bytes each.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
+#: N-grams of a part of the texts that are counted together where they are read.
+COUNTED = 1 << 22
+#: So many n-grams two texts must share within their prefixes; more lengthen the prefixes by as many.
+MEET = 3
 #: A column with more texts than this isn't multiplied out at once.
 LONG = 128
 #: Texts of a long column are compared in blocks of so many.
@@ -57,30 +62,60 @@ def _shingles(n: int):
             g ^= g >> np.uint64(29)
         return np.unique(g.view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 found = [grams(t) for t in batch.column(1).to_pylist()]
                 keep = [i for i, g in enumerate(found) if g is not None]
-                if not keep:
-                    continue
-                lists = [found[i] for i in keep]
-                size = np.array([len(g) for g in lists], np.int64)
-                flat = np.concatenate(lists)
-                ends = np.cumsum(size)
-                u = flat.view(np.uint64)
-                keys = []
-                for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-                    m = (u ^ u >> np.uint64(31)) * np.uint64(c)
-                    m ^= m >> np.uint64(27)
-                    s = np.concatenate([[0], np.cumsum(m, dtype=np.uint64)]).astype(np.uint64)
-                    keys.append((s[ends] - s[ends - size]).view(np.int64))
-                bits = bitmaps(flat, size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keep)), pa.array(keys[0]), pa.array(keys[1]), pa.array(size), *[pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))],
-                    ["node", "k1", "k2", "size", *[f"b{w}" for w in range(BITMAP)], "grams"],
-                )
+                if keep:
+                    lists = [found[i] for i in keep]
+                    yield batch.column(0).take(pa.array(keep)), np.array([len(g) for g in lists], np.int64), np.concatenate(lists)
+
+    return run
+
+
+KEYS = "node long, k1 long, k2 long, size long, " + "".join(f"b{w} long, " for w in range(BITMAP)) + "gram long, n long"
+
+
+def _keys(n: int):
+    """A row for each text (keys of its set, size, bitmap), and rows (gram, n) of n-grams that a part of the texts has repeatedly."""
+    names = [c.split()[0] for c in KEYS.split(", ")]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        g, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= 2
+        rows = int(keep.sum())
+        return pa.RecordBatch.from_arrays([*[pa.nulls(rows, pa.int64()) for _ in names[:-2]], pa.array(g[keep]), pa.array(n[keep])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for node, size, flat in _shingles(n)(batches):
+            ends = np.cumsum(size)
+            u = flat.view(np.uint64)
+            keys = []
+            for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+                m = (u ^ u >> np.uint64(31)) * np.uint64(c)
+                m ^= m >> np.uint64(27)
+                s = np.concatenate([[0], np.cumsum(m, dtype=np.uint64)]).astype(np.uint64)
+                keys.append((s[ends] - s[ends - size]).view(np.int64))
+            bits = bitmaps(flat, size)
+            none = pa.nulls(len(size), pa.int64())
+            yield pa.RecordBatch.from_arrays([node, pa.array(keys[0]), pa.array(keys[1]), pa.array(size), *[pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)], none, none], names)
+            held.append(flat)
+            if sum(map(len, held)) >= COUNTED:
+                yield counted(held)
+                held.clear()
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def _lists(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, size, flat in _shingles(n)(batches):
+            yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))], ["node", "grams"])
 
     return run
 
@@ -97,41 +132,44 @@ def bitmaps(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, BITMAP)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams that stand out within a batch, with their counts."""
-    for batch in batches:
-        g, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-        keep = n >= max(3, batch.num_rows // 2500)
-        yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(n[keep])], ["gram", "n"])
+def least_shared(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """So many n-grams texts of sizes ``x`` and ``y`` share if their similarity is ``t`` or more."""
+    return np.maximum(1, np.ceil((x + y) * (t / (1 + t)) - 1e-9)).astype(np.int64)
 
 
-def need(size: int, t: float) -> int:
-    """So many n-grams a text of ``size`` must share with any text of similarity ``t`` or more."""
-    return math.ceil(t * size - 1e-9)
+def _weights(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, t: float) -> np.ndarray:
+    """What a shared n-gram at places ``px`` and ``py`` of two texts counts for; 0 where it is beyond their prefixes.
+
+    Without its last ``least_shared - m`` n-grams, a text shares ``m`` or more with any text similar
+    enough, which may itself be cut likewise: of what they share, no more than those are beyond the
+    prefix that ends first.  Weights add up to ``MEET`` there, also for texts that share fewer.
+    """
+    least = least_shared(x, y, t)
+    m = np.minimum(MEET, least)
+    inside = (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9) & (px < x - least + m) & (py < y - least + m)
+    return np.where(inside, 1 + MEET - m, 0)
 
 
-def _prefixes(frequent: np.ndarray, rank: np.ndarray, t: float):
+def _prefixes(n: int, frequent: np.ndarray, rank: np.ndarray, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            flat = values[offsets[0] : offsets[-1]]
-            size = np.diff(offsets).astype(np.int64)
+        for node, size, flat in _shingles(n)(batches):
+            nodes = node.to_numpy()
             row = np.repeat(np.arange(len(size)), size)
             place = np.zeros(len(flat), np.int64)
             if len(frequent):
                 i = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
                 place = np.where(frequent[i] == flat, rank[i] + 1, 0)
             order = np.lexsort((flat, place, row))
-            keep = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+            keep = size - np.ceil(t * size - 1e-9).astype(np.int64) + MEET
             start = np.cumsum(size) - size
             within = np.arange(len(flat)) - start[row]
-            chosen = order[within < keep[row]]
+            inside = within < keep[row]
+            chosen = order[inside]
             r = row[chosen]
             # half of the hash names a column well enough; two n-grams in one column only add candidates
-            yield pa.RecordBatch.from_arrays([pa.array((flat[chosen] >> 32).astype(np.int32)), pa.array(nodes[r]), pa.array(size[r].astype(np.int32))], ["gram", "node", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((flat[chosen] >> 32).astype(np.int32)), pa.array(nodes[r]), pa.array(size[r].astype(np.int32)), pa.array(within[inside].astype(np.int32))], ["gram", "node", "size", "at"]
+            )
 
     return run
 
@@ -142,40 +180,41 @@ def _product(t: float, long: int):
     def emit(a, b, n, star):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(star, pa.bool_())], ["a", "b", "shared", "star"])
 
-    def multiply(gram, node, size):
+    def multiply(gram, node, size, at):
         cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         length = np.diff(np.concatenate([cut, [len(gram)]]))
-        a, b = [], []
+        a, b, w = [], [], []
         for n in np.unique(length[length > 1]):
-            at = cut[length == n]
             if n > long:
                 continue
+            columns = cut[length == n]
             i, j = np.triu_indices(int(n), 1)
-            step = max(1, 2_000_000 // len(i))
-            for k in range(0, len(at), step):
-                left, right = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                x, y = size[left], size[right]
-                ok = np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9
+            step = max(1, 1_000_000 // len(i))
+            for k in range(0, len(columns), step):
+                left, right = (columns[k : k + step, None] + i).ravel(), (columns[k : k + step, None] + j).ravel()
+                weight = _weights(size[left], at[left], size[right], at[right], t)
+                ok = np.flatnonzero(weight)
                 u, v = node[left[ok]], node[right[ok]]
                 a.append(np.minimum(u, v))
                 b.append(np.maximum(u, v))
+                w.append(weight[ok])
         if a:
-            a, b = np.concatenate(a), np.concatenate(b)
+            a, b, w = np.concatenate(a), np.concatenate(b), np.concatenate(w)
             order = np.lexsort((b, a))
-            a, b = a[order], b[order]
+            a, b, w = a[order], b[order], w[order]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.array([], int)
             if len(first):
-                yield emit(a[first], b[first], np.diff(np.concatenate([first, [len(a)]])).astype(np.int32), np.zeros(len(first), bool))
+                yield emit(a[first], b[first], np.add.reduceat(w, first).astype(np.int32), np.zeros(len(first), bool))
         for s, n in zip(cut[length > long], length[length > long]):
             low = node[s : s + n].min()
             others = node[s : s + n][node[s : s + n] != low]
-            yield emit(np.full(len(others), low), others, np.zeros(len(others), np.int32), np.ones(len(others), bool))
+            yield emit(np.full(len(others), low), others, np.full(len(others), MEET, np.int32), np.ones(len(others), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("gram", "node", "size")))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("gram", "node", "size", "at")))
             rows += batch.num_rows
             if rows < 200_000:
                 continue
@@ -212,14 +251,13 @@ def _cross(t: float):
     """Pairs of texts from two blocks of one long column that are in different groups so far."""
 
     def run(key, table):
-        node, size, root, block = (table.column(c).to_numpy() for c in ("node", "size", "root", "block"))
+        node, size, at, root, block = (table.column(c).to_numpy() for c in ("node", "size", "at", "root", "block"))
         lo, hi = key[1].as_py(), key[2].as_py()
         left = np.flatnonzero(block == lo)
         right = np.flatnonzero(block == hi)
         a, b = [], []
         for i in left:
-            x, y = size[i], size[right]
-            ok = (root[right] != root[i]) & (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9) & (node[right] != node[i])
+            ok = (root[right] != root[i]) & (node[right] != node[i]) & (_weights(size[i], at[i], size[right], at[right], t) > 0)
             a.append(np.minimum(node[i], node[right[ok]]))
             b.append(np.maximum(node[i], node[right[ok]]))
         a, b = (np.concatenate(v) if v else np.array([], np.int64) for v in (a, b))
@@ -243,29 +281,28 @@ def near_duplicates(passages: DataFrame, node: str = "ordinal", text: str = "tex
     spark = passages.sparkSession
     ship(spark)
     rows = passages.select(F.col(node).cast("long").alias("node"), F.col(text).cast("string").alias("text")).where("node is not null and text is not null")
-    texts = materialize(rows.mapInArrow(_shingles(n), "node long, k1 long, k2 long, size long, " + "".join(f"b{w} long, " for w in range(BITMAP)) + "grams array<long>"), "grams")
+    keyed = materialize(rows.mapInArrow(_keys(n), KEYS), "keys")
+    texts = keyed.where("gram is null").drop("gram", "n")
     equal = materialize(first_of_key(texts.select("node", "k1", "k2", "size"), ["k1", "k2", "size"], "node").where("node <> first").select("node", "first").distinct(), "equal")
-    own = texts.join(equal.select("node"), "node", "left_anti")
-    counts = own.select("grams").mapInArrow(_frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()  # at most FREQUENT rows
-    frequent = np.array([r["gram"] for r in top], np.int64)
-    rank = np.arange(len(top), 0, -1)
+    own = texts.drop("k1", "k2").join(equal.select("node"), "node", "left_anti")
+    counts = keyed.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    frequent = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow().column("gram").to_numpy()  # at most FREQUENT rows
+    rank = np.arange(len(frequent), 0, -1)
     order = np.argsort(frequent)
-    postings = own.select("node", "grams").mapInArrow(_prefixes(frequent[order], rank[order], t), "gram int, node long, size int")
+    whole = rows.join(equal.select("node"), "node", "left_anti")
+    postings = whole.mapInArrow(_prefixes(n, frequent[order], rank[order], t), "gram int, node long, size int, at int")
     product = postings.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_product(t, long), "a long, b long, shared int, star boolean")
     pairs = product.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
-    counted = _sized(pairs, own)
-    # both prefixes are known in full up to the end of the one that ends first; what is beyond is at most its rest
-    rest = F.greatest(F.ceil(F.col("x") * t - 1e-9), F.ceil(F.col("y") * t - 1e-9)) - 1
-    bound = F.ceil((F.col("x") + F.col("y")) * (t / (1 + t)) - 1e-9)
-    counted = materialize(counted.where(F.col("star") | (F.col("shared") + rest >= bound)).where(_may_agree(t)).select("a", "b"), "candidates")
-    links = _verified(counted, own, t)
+    met = materialize(pairs.where(F.col("shared") >= MEET).select("a", "b", "star"), "met")
+    counted = materialize(_sized(met, own).where(_may_agree(t)).select("a", "b"), "candidates")
+    links = _verified(counted, whole, n, t)
     links = materialize(links.union(equal.select(F.col("first").alias("a"), F.col("node").alias("b"))), "links")
     groups = components(links)
-    more = _long_columns(postings, groups, t, long)
+    # every column of more than ``long`` different texts gives pairs with its lowest one
+    more = None if is_empty(met.where("star")) else _long_columns(postings, groups, t, long)
     if more is not None:
         more = materialize(_sized(more, own).where(_may_agree(t)).select("a", "b"), "more_candidates")
-        extra = materialize(_verified(more, own, t), "more_links")
+        extra = materialize(_verified(more, whole, n, t), "more_links")
         if not is_empty(extra):
             groups = components(links.union(extra))
     return groups
@@ -285,9 +322,9 @@ def _may_agree(t: float):
     return F.col("differ") <= (F.col("x") + F.col("y")) * ((1 - t) / (1 + t)) + 1e-9
 
 
-def _verified(pairs: DataFrame, own: DataFrame, t: float) -> DataFrame:
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = own.select("node", "grams").join(asked, "node", "left_semi")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
+    asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    own = materialize(texts.join(asked, "node", "left_semi").mapInArrow(_lists(n), "node long, grams array<long>"), "grams")
     x = own.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = own.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(t), "a long, b long")
@@ -305,5 +342,5 @@ def _long_columns(postings: DataFrame, groups: DataFrame, t: float, long: int) -
     split = members.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = spread.select("gram", "lo", "hi", "node", "size", "root", "block").groupBy("gram", "lo", "hi").applyInArrow(_cross(t), "a long, b long")
+    found = spread.select("gram", "lo", "hi", "node", "size", "at", "root", "block").groupBy("gram", "lo", "hi").applyInArrow(_cross(t), "a long, b long")
     return materialize(found.distinct(), "cross")

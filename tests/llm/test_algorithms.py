@@ -250,6 +250,15 @@ def test_near_duplicates_against_brute_force(spark, rows, n, t, long, monkeypatc
     assert sparse_product.near_duplicates(df.limit(0), n=n, t=t).count() == 0
 
 
+def test_few_pairs_of_unrelated_texts_are_moved(spark, rows, monkeypatch):
+    texts = [(i, " ".join(f"v{x}" for x in np.random.default_rng(i).integers(0, 60, 80))) for i in range(400)]
+    moved, real = [], sparse_product._sized
+    monkeypatch.setattr(sparse_product, "_sized", lambda pairs, own: (moved.append(pairs.count()), real(pairs, own))[1])
+    df = spark.createDataFrame(texts + [(400, texts[7][1] + " v1 v2 v3")], "ordinal long, text string")
+    assert rows(sparse_product.near_duplicates(df, n=3, t=0.5).where("node <> root").select("node", "root")) == {(400, 7)}
+    assert 1 <= sum(moved) <= 100
+
+
 # pieces
 
 
