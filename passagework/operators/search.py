@@ -13,6 +13,8 @@ from passagework.functions import vector
 from passagework.runtime import ship
 
 BLOCK = 2048
+#: Vectors that a task of the block search holds; the queries pass by them once for each so many.
+HELD = 1 << 14
 
 
 def top_k(scored: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -63,6 +65,57 @@ def _products(k: int):
     return run
 
 
+def _beside(k: int):
+    """Rows come by part, its vectors (``asks`` false) before its queries, which are multiplied as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, c = None, [], None
+
+        def matrix(rows: pa.RecordBatch) -> np.ndarray:
+            return rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+
+        for batch in batches:
+            parts, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])])) if len(parts) else np.zeros(0, int)
+            for at, end in zip(cuts, [*cuts[1:], len(parts)]):
+                rows = batch.slice(at, end - at)
+                if parts[at] != part:
+                    part, held, c = parts[at], [], None
+                if not asks[at]:
+                    held.append((rows.column("id").to_numpy(), matrix(rows), rows.column("norm").to_numpy()))
+                    continue
+                if not held:
+                    continue
+                if c is None:
+                    ic, c, nc = (np.concatenate(x) for x in zip(*held))
+                    held = [None]
+                    order = np.argsort(ic, kind="stable")
+                    ic, c, nc = ic[order], c[order], nc[order]
+                m = min(k, len(ic))
+                step = max(1, (1 << 20) // len(ic))
+                for i in range(0, rows.num_rows, step):
+                    some = rows.slice(i, step)
+                    iq = some.column("id").to_numpy()
+                    scale = some.column("norm").to_numpy()[:, None] * nc[None, :]
+                    s = np.round(np.divide(matrix(some) @ c.T, scale, out=np.zeros(scale.shape), where=scale != 0), 12)
+                    if m < s.shape[1]:
+                        kth = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                        r, near = np.nonzero(s >= kth[:, None] - 1e-6)  # ties at six decimals are told apart later
+                    else:
+                        r, near = np.nonzero(np.ones(s.shape, bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(iq[r]), pa.array(ic[near]), pa.array(s[r, near])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _passed_by(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of the best ``k`` of each part of the corpus, and what ties with them."""
+    parts = max(1, -(-corpus.count() // HELD))
+    c = corpus.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "embedding", "norm")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "id", "embedding", "norm")
+    return c.union(q).repartition("part").sortWithinPartitions("part", "asks").mapInArrow(_beside(k), "query_id long, vec_id long, score double")
+
+
 def with_norm(vectors: DataFrame, node: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The index of an exact search: (id, embedding, norm), null ids and embeddings left out."""
     base = vectors.where(F.col(node).isNotNull() & F.col(embedding).isNotNull())
@@ -72,8 +125,8 @@ def with_norm(vectors: DataFrame, node: str = "vec_id", embedding: str = "embedd
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, strategy: str = "arrow", exclude_self: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score`` from two indexes made by :func:`with_norm`.
 
-    ``strategy`` "arrow" multiplies blocks as matrices, "expr" scores in column expressions; both
-    meet the corpus block by block through an equi-join, so work is even and nothing is broadcast.
+    ``strategy`` "arrow" lets the queries pass by ``HELD`` vectors at a time as matrices, "expr" scores
+    in column expressions through an equi-join; work is even, and blocks are never broadcast.
     A zero vector scores 0, ties go to the lower id, fewer than k vectors give fewer rows.
     """
     if strategy not in ("arrow", "expr"):
@@ -83,11 +136,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, strategy: str
     ship(corpus.sparkSession)
     more = k + int(exclude_self)
     if strategy == "arrow":
-        c = packed(corpus, [], BLOCK, "c")
-        q = packed(queries, [], BLOCK, "q")
-        blocks = c.select("c_part").distinct()
-        pairs = _with_parts(q, blocks).join(c, "c_part")
-        scored = pairs.select("q_id", "q_embedding", "q_norm", "c_id", "c_embedding", "c_norm").mapInArrow(_products(more), "query_id long, vec_id long, score double")
+        scored = _passed_by(queries, corpus, more)
     else:
         parts = max(1, -(-corpus.count() // BLOCK))
         c = corpus.select(F.col("id").alias("vec_id"), "embedding", "norm", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
@@ -102,9 +151,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, strategy: str
 def block_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query_id, vec_id, score`` of every query against every vector, by block products."""
     ship(corpus.sparkSession)
-    c, q = packed(corpus, [], BLOCK, "c"), packed(queries, [], BLOCK, "q")
-    pairs = _with_parts(q, c.select("c_part").distinct()).join(c, "c_part").select("q_id", "q_embedding", "q_norm", "c_id", "c_embedding", "c_norm")
-    return pairs.mapInArrow(_products(1 << 62), "query_id long, vec_id long, score double")
+    return _passed_by(queries, corpus, 1 << 62)
 
 
 #: Kernels of the exact search by name, as (strategy, whether stored norms are used).
@@ -121,12 +168,6 @@ def by_kernel(name: str, queries: DataFrame, corpus: DataFrame, k: int = 10) ->
     return exact_topk(queries, corpus, k, strategy)
 
 
-def _with_parts(q: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every query block once for each corpus block; the numbers of the blocks are consecutive."""
-    high = blocks.agg(F.max("c_part").alias("m")).collect()[0]["m"]
-    return q.withColumn("c_part", F.explode(F.sequence(F.lit(0), F.lit(int(high or 0)))))
-
-
 def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query_id, vec_id, score`` of every query against every vector."""
     parts = max(1, -(-corpus.count() // BLOCK))

@@ -169,3 +169,15 @@ def test_json_stream(spark, tmp_path):
     s = tables.stream_jsonl(spark, str(tmp_path / "in"), PASSAGE).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
     s.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_exact_search_broadcasts_no_blocks(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(5000)]
+    corpus = search.with_norm(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    found = search.exact_topk(corpus.where("id % 500 = 0"), corpus, 3)
+    x = np.array([v for _, v in data], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 6)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()} == {(q, k + 1, int(j)) for q in range(0, 5000, 500) for k, j in enumerate(np.argsort(-s[q], kind="stable")[:3])}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
