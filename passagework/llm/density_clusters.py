@@ -165,7 +165,7 @@ def _pairs(points: DataFrame, turn: int) -> DataFrame:
 
 
 def _density(points: DataFrame) -> DataFrame:
-    """``node, density``: number of vectors in all the dense cells a vector lies in."""
+    """``node, density``: number of ``points`` in all the dense cells of the first turn that a vector lies in."""
     cells = [F.struct(F.xxhash64(F.lit(i), *[F.col(f"f{g}") for g in grid]).alias("cell")) for i, grid in enumerate(combinations(range(TURNS[0]), DEPTH))]
     spread = points.select("node", F.explode(F.array(*cells)).alias("c")).select("node", "c.cell")
     return first_of_key(spread, ["cell"], "node").groupBy("node").agg(F.sum("copies").alias("density"))
@@ -190,7 +190,7 @@ def _agreeing(pairs: DataFrame, points: DataFrame, source: DataFrame, dim: int)
 
 
 def density_sets(vectors: DataFrame, node: str = "vec_id", embedding: str = "embedding", dim: int = 384) -> tuple[DataFrame, DataFrame]:
-    """``(sets, points)``: (node, root, size) of each member, and the features of each vector.
+    """``(sets, points)``: (node, root, size) of each member, and the features of each usable vector, copies and loners too.
 
     Rows with a null node or an unusable embedding take no part, loners give no row.  Vectors that
     agree to six decimals are counted and clustered once and come back in the end, so a vector
@@ -210,7 +210,8 @@ def density_sets(vectors: DataFrame, node: str = "vec_id", embedding: str = "emb
         links = links.union(found)
         if turn + 1 < len(TURNS):
             todo = materialize(todo.join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "left")
-    return _exact(components(links), points.dropDuplicates(["node"]), source, dim), own
+    every = points.dropDuplicates(["node"])
+    return _exact(components(links), every, source, dim), every
 
 
 def _exact(sets: DataFrame, points: DataFrame, source: DataFrame, dim: int, chunk: int = 1024) -> DataFrame:
@@ -258,10 +259,11 @@ def _exact(sets: DataFrame, points: DataFrame, source: DataFrame, dim: int, chun
 def cluster_report(vectors: DataFrame, node: str = "vec_id", embedding: str = "embedding", dim: int = 384, typical: int = 3) -> DataFrame:
     """Per set: ``first_vec_id``, ``size`` and the ``typical`` members of the densest cells.
 
-    The density of a vector is the number of vectors in all the cells it lies in.
+    The density of a vector is the number of vectors in all the dense cells of the first turn that
+    it lies in; all usable vectors of the table count there, those stored repeatedly and loners too.
     """
     sets, points = density_sets(vectors, node, embedding, dim)
-    density = _density(points.join(sets.select("node"), "node", "left_semi"))
+    density = _density(points)
     # the largest few are kept while rows are read, so that no set is gathered in one place
     dense = sets.join(density, "node", "left").select("root", "size", "node", F.coalesce("density", F.lit(0)).alias("density"))
     order = Window.partitionBy("root").orderBy(F.desc("density"), "node")

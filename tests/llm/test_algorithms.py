@@ -117,6 +117,24 @@ def test_density_sets(spark, rows):
     assert density_clusters.density_sets(frame(spark, []), dim=48)[0].count() == 0
 
 
+def test_density_counts_all_vectors(spark):
+    """Loners and copies count in the cells of the report, and copies have a density of their own."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(48)
+    near = [centre + 0.25 * rng.standard_normal(48) for _ in range(4)]
+    lone = [centre + 1.2 * rng.standard_normal(48) for _ in range(300)]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(near + [near[1]] * 3 + lone)]
+    x = np.array([v for _, v in data], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = [density_clusters._codes.strongest(x, density_clusters.AXES, g)[0] for g in range(density_clusters.TURNS[0])]
+    density = np.zeros(len(data), int)
+    for grid in itertools.combinations(codes, density_clusters.DEPTH):
+        _, cell, n = np.unique(np.stack(grid), axis=1, return_inverse=True, return_counts=True)
+        density += np.where(n[cell] >= 2, n[cell], 0)
+    got = density_clusters.cluster_report(frame(spark, data + BAD), dim=48, typical=400).collect()
+    assert {r["vec_id"] for r in got} >= set(range(7)) and all(r["density"] == density[r["vec_id"]] for r in got)
+
+
 def test_lone_pairs_near_the_limit(spark, rows):
     rng = np.random.default_rng(8)
     data = []
