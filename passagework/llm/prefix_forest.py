@@ -4,18 +4,15 @@ Each of ``TREES`` trees gives a vector a long string of hash digits; a digit is
 of one random rotation, and every tree begins with another rotation.  A vector descends to the
 shortest prefix whose run of the sorted strings holds at most ``RUN`` vectors, so prefixes are long
 where vectors are dense; small runs are put together with their neighbours below the same parent.
-All trees ascend together up to the first digits (one up to ``RUN`` times 256 vectors, two above):
-what lies below them is compared part against part, so a crowded run loses nothing by having been
-cut.  Two vectors that are near share one of 6 digits about as often as two of 9, so where two
-digits come first there is a tree for every two of ``PAIRED`` digits.  Two parts are compared at once as a matrix
-product of 16-bit vectors.  What is too close to call is decided from the original embeddings in
+All trees ascend together up to the first digit, however many vectors there are: what lies below it
+is compared part against part, so a crowded run loses nothing by having been cut.  Two parts are
+compared at once as a matrix product of 16-bit vectors.  What is too close to call is decided from the original embeddings in
 double: pair by pair, or within the block where more than ``TIES`` of it are too close for one vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +24,6 @@ from passagework.llm._graph import first_of_key
 from passagework.runtime import is_empty, materialize, ship
 
 TREES = 6
-#: Digits of which every two begin a tree where trees begin with two digits.
-PAIRED = 9
 AXES = 128
 RUN = 8192
 K = 5
@@ -40,24 +35,22 @@ TIES = 20
 SHORT = 32000.0
 
 
-def orders(base: int) -> list[list[int]]:
-    """The digits of every tree in their order: each first once, or every two."""
-    if base == 1:
-        return [[(t + j) % TREES for j in range(TREES)] for t in range(TREES)]
-    return [[i, j, *[d for d in range(PAIRED) if d not in (i, j)][: TREES - 2]] for i, j in combinations(range(PAIRED), 2)]
+def orders() -> list[list[int]]:
+    """The digits of every tree in their order: each first once."""
+    return [[(t + j) % TREES for j in range(TREES)] for t in range(TREES)]
 
 
-def _strings(dim: int, digits_made: int = TREES):
+def _strings(dim: int):
     """A row per vector: its keys as a copy, its hash digits, its 16-bit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in _codes.unit_rows(batch, dim):
-                digits = np.stack([_codes.strongest(x, AXES, 50 + t)[0] for t in range(digits_made)], axis=1).astype(np.int32)
+                digits = np.stack([_codes.strongest(x, AXES, 50 + t)[0] for t in range(TREES)], axis=1).astype(np.int32)
                 q = np.rint(x * (SHORT / np.abs(x).max(axis=1))[:, None]).astype("<i2")
                 node = batch.column(0).take(pa.array(at))
                 packed = pa.array([r.tobytes() for r in q], pa.binary())
-                yield pa.RecordBatch.from_arrays([node, *[pa.array(np.ascontiguousarray(digits[:, t])) for t in range(digits_made)], packed], ["node", *[f"d{t}" for t in range(digits_made)], "short"])
+                yield pa.RecordBatch.from_arrays([node, *[pa.array(np.ascontiguousarray(digits[:, t])) for t in range(TREES)], packed], ["node", *[f"d{t}" for t in range(TREES)], "short"])
 
     return run
 
@@ -163,26 +156,26 @@ def _within_exactly(dim: int, k: int, least: float):
 
 
 def base_depth(n: int, run: int) -> int:
-    """Digits after which runs of evenly spread vectors are no longer than ``run``."""
+    """Digits after which runs of evenly spread vectors are no longer than ``run``; tells of cost only, the search doesn't ask for it."""
     depth = 1
     while depth < TREES and n > run * (2 * AXES) ** depth:
         depth += 1
     return depth
 
 
-def _descend(strings: DataFrame, run: int, base: int = 1) -> DataFrame:
+def _descend(strings: DataFrame, run: int) -> DataFrame:
     """A block (tree, key, part) for every vector and tree, several below a crowded digit; blocks hold some 2 to 4 times ``run`` at most."""
-    trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.array(*[F.col(f"d{d}") for d in order]).alias("digits")) for t, order in enumerate(orders(base))])).alias("s")
+    trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.array(*[F.col(f"d{d}") for d in order]).alias("digits")) for t, order in enumerate(orders())])).alias("s")
     spread = strings.select("node", "asks", "short", trees).select("node", "asks", "short", "s.tree", "s.digits")
     narrow = strings.select("node", trees).select("node", "s.*")
     prefix = lambda n: F.concat_ws("-", F.slice("digits", 1, n))
     done, crowded = None, narrow.withColumn("parent", F.lit(""))
     blocks: list[DataFrame] = []
-    for depth in range(base, TREES + 1):
+    for depth in range(1, TREES + 1):
         counts = crowded.withColumn("prefix", prefix(depth)).groupBy("tree", "parent", "prefix").agg(F.count(F.lit(1)).alias("n"))
         counts = materialize(counts, "runs")
         hot = counts.where(F.col("n") > run)
-        if depth == base:
+        if depth == 1:
             # small runs next to each other ascend to their parent together only below a crowded one
             small = counts.where(F.col("n") <= run).withColumn("part", F.lit(0).cast("long")).withColumn("key", F.col("prefix"))
         else:
@@ -198,27 +191,27 @@ def _descend(strings: DataFrame, run: int, base: int = 1) -> DataFrame:
             break
         crowded = crowded.withColumn("prefix", prefix(depth)).join(hot.select("tree", "prefix"), ["tree", "prefix"], "left_semi").withColumn("parent", F.col("prefix")).drop("prefix")
     if len(blocks) == 1:
-        return spread.select("node", "asks", "short", "tree", prefix(base).alias("key"), F.lit(0).cast("long").alias("part"))
+        return spread.select("node", "asks", "short", "tree", prefix(1).alias("key"), F.lit(0).cast("long").alias("part"))
     table = blocks[0]
     for b in blocks[1:]:
         table = table.union(b)
-    deep = table.where(F.size(F.split("prefix", "-")) > base).withColumn("prefix1", F.substring_index("prefix", "-", base))
+    deep = table.where(F.size(F.split("prefix", "-")) > 1).withColumn("prefix1", F.substring_index("prefix", "-", 1))
     deep = materialize(deep.withColumn("subs", F.when(F.col("part") < 0, F.col("parts")).otherwise(1)), "deep")
-    # the parts below the first digits are numbered in the order of their strings
+    # the parts below the first digit are numbered in the order of their strings
     once = deep.groupBy("tree", "prefix1", "key", "part").agg(F.max("subs").alias("subs"))
     order = Window.partitionBy("tree", "prefix1").orderBy("key", "part")
     numbered = once.withColumn("base", F.coalesce(F.sum("subs").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = numbered.withColumn("total", F.sum("subs").over(Window.partitionBy("tree", "prefix1")))
     places = materialize(deep.drop("subs").join(numbered, ["tree", "prefix1", "key", "part"]).select("tree", "prefix1", "prefix", "base", "subs", "total"), "places")
-    deepest = min(base + len(blocks) - 1, TREES)
-    # a vector whose first digits are not crowded needs no look-up; the others find their prefix by length
+    deepest = min(len(blocks), TREES)
+    # a vector whose first digit is not crowded needs no look-up; the others find their prefix by length
     first = materialize(places.select("tree", "prefix1").distinct(), "crowded")
-    out = spread.withColumn("prefix1", prefix(base)).join(first.withColumn("deep", F.lit(True)), ["tree", "prefix1"], "left")
+    out = spread.withColumn("prefix1", prefix(1)).join(first.withColumn("deep", F.lit(True)), ["tree", "prefix1"], "left")
     plain = out.where("deep is null").select("node", "asks", "short", "tree", F.col("prefix1").alias("key"), F.lit(0).cast("long").alias("part"))
-    tried = out.where("deep").withColumn("prefix", F.explode(F.array(*[prefix(n) for n in range(base + 1, deepest + 1)])))
+    tried = out.where("deep").withColumn("prefix", F.explode(F.array(*[prefix(n) for n in range(2, deepest + 1)])))
     found = tried.join(places.drop("prefix1"), ["tree", "prefix"])
     own = (F.col("base") + F.pmod(F.xxhash64("node", "tree"), F.col("subs"))).cast("long")
-    # ascending to the first digits again: every part meets every other one, two parts at a time
+    # ascending to the first digit again: every part meets every other one, two parts at a time
     met = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("total") - 1).cast("long"))))
     pair = F.concat_ws("|", "prefix1", F.least("own", "other"), F.greatest("own", "other"))
     return plain.union(met.select("node", "asks", "short", "tree", pair.alias("key"), F.lit(0).cast("long").alias("part")))
@@ -260,17 +253,14 @@ def neighbours(
     copies = materialize(first_of_key(keys, ["k1", "k2"], "node").select("node", "first").distinct(), "copies")
     repeated = copies.where("node <> first").select("node")
     heads = copies.where(asking).select(F.col("first").alias("node")).distinct()
-    # more than two digits would need far more trees; crowded runs below two are compared in parts
-    base = min(base_depth(source.count(), run), 2)
-    digits_made = TREES if base == 1 else PAIRED
-    schema = "node long, " + ", ".join(f"d{t} int" for t in range(digits_made)) + ", short binary"
+    schema = "node long, " + ", ".join(f"d{t} int" for t in range(TREES)) + ", short binary"
     once = source.join(repeated, "node", "left_anti")
-    strings = once.mapInArrow(_strings(dim, digits_made), schema)
+    strings = once.mapInArrow(_strings(dim), schema)
     if queries:
         strings = strings.join(heads.withColumn("head", F.lit(True)), "node", "left").withColumn("asks", asking | F.col("head").isNotNull()).drop("head")
     else:
         strings = strings.withColumn("asks", F.lit(True))
-    blocks = _descend(strings, run, base)
+    blocks = _descend(strings, run)
     found = blocks.groupBy("tree", "key", "part").applyInArrow(_within(dim, k, least), "a long, b long, cosine double, tree int, key string, part long, asks boolean")
     found = materialize(found.groupBy("a", "b", "tree", "key", "part", "asks").agg(F.max("cosine").alias("cosine")), "found")
     pairs, tied = found.where("b is not null").select("a", "b", "cosine"), found.where("b is null").select("a", "tree", "key", "part", "asks")

@@ -193,6 +193,15 @@ def test_recall_at_two_digits(spark, rows, run, monkeypatch):
     assert len(got & truth) / len(truth) >= 0.9
 
 
+def test_neighbours_do_not_depend_on_the_number_of_runs(spark, rows):
+    """600 vectors of many directions, in runs of 8,192 and of 2 (as if there were 2.4 million)."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((200, 48))
+    data = [(i, [float(x) for x in centres[i % 200] + 0.45 * rng.standard_normal(48)]) for i in range(600)]
+    one, two = (rows(prefix_forest.neighbours(frame(spark, data), dim=48, run=run).select("a", "b", "place")) for run in (8192, 2))
+    assert len(one) > 300 and one == two
+
+
 @pytest.mark.parametrize("run", [8192, 16])
 def test_many_near_copies_are_taken_by_lower_node(spark, rows, run):
     rng = np.random.default_rng(4)
